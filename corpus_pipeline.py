@@ -8,10 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import minhash, packing
+from termweave.llm import minhash, packing, quality, toxicity
 from termweave.llm.common import materialize
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose toxic passages give a score of 0.5 or more."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the rule ensemble scores under 0.7."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each near-duplicate group (five-word shingles, 80 percent)."""
     return minhash.keep_one(docs)
@@ -23,6 +33,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
     ("near_dedup", near_dedup_stage),
     ("packing", packing_stage),
 ]

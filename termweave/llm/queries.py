@@ -5,14 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing
+from . import minhash, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: trained where crc32(doc_id) mod 5 is not 0, predicted at 0.5."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    held_out = toxicity.held_out_by(F.col("doc_id"), 5, 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "best", "passages")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: trained where crc32(doc_id) mod 4 is not 2, predicted at 0.7."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.train(docs, labels))
+    held_out = toxicity.held_out_by(F.col("doc_id"), 4, 2).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: 4-word shingles, 80 percent."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -24,8 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_packing": op6_packing,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
