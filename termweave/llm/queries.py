@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, minhash, packing, quality, toxicity
+from . import ann, exact_topk, licenses, lm_scoring, minhash, packing, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,16 +50,35 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document."""
+    return lm_scoring.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: base phrases of three licences, labels of the positional index beside them."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of each."""
+    return token_counts.section_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_approximate_nearest_neighbours": op3_approximate_nearest_neighbours,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_packing": op6_packing,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_license_scans": op9_license_scans,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_license_scans": licenses.oracle(),
     "op7_exact_top_k": """
         WITH v AS (
           SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
