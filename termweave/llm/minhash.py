@@ -5,12 +5,14 @@
    probability of 5e-8.
 2. Documents of equal shingle sets are one class; only its smallest doc_id goes on. So thousands of
    exact copies cost one row.
-3. In every band bucket each member is paired with one centre, the member of smallest hash, never
-   with all others. Pairs whose signatures agree enough are confirmed on the full sets.
-4. Buckets that still hold members of different components are finished exactly: their members are
-   dealt into tiles of at most 2 x TILE rows, every tile compares its cross-component pairs on
-   signatures and then on full sets, and emits only links that join components within the tile. Row
-   counts stay near-linear in a bucket's size, and no link between components is lost.
+3. In every band bucket each member is paired with one centre, the member that shares most buckets
+   with others, never with all others. Pairs whose signatures agree enough are confirmed on the full
+   sets.
+4. Buckets that still hold members of different components are finished exactly, in tiles of about
+   2 x TILE rows: members outside a bucket's largest component meet one another and that component,
+   whose members need not meet again. A tile first compares signatures and passes on only members
+   with a likely partner in another component; then full sets decide, and a tile emits only links
+   that join components. Rows stay near-linear in a bucket's size and no link between components is lost.
 5. Components come from large-star / small-star rounds on the links, all as DataFrames.
 
 Cases: null or empty texts have no shingles, are linked with nothing and are their own component;
@@ -36,9 +38,10 @@ WORDS = 5
 PERCENT = 80
 BANDS = 32
 BAND_ROWS = 4
-#: Signatures must agree on this share before full sets are compared: 5.5 standard deviations below 0.8.
-AGREE = 0.6
-TILE = 128
+#: Signatures must agree on this share before full sets are compared: 4.6 standard deviations below 0.8.
+AGREE = 0.64
+TILE = 1024
+SLOTS = 1 << 24
 MAX_ROUNDS = 60
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +97,7 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set; null if empty), bands array<long>, sig binary."""
+    """doc_id, n_shingles, set_key (of the whole set; null if empty), sig binary (band after band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,36 +105,52 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = BAND_ROW
                 piece = b.slice(part, 512)
                 sets = list(shingle_sets(piece.column(1), words))
                 sig = signatures(sets, bands * rows)
-                band = np.zeros((len(sets), bands), np.uint64)
-                for j in range(rows):
-                    band = mix(band * _STEP[j] + sig[:, j::rows].astype(np.uint64))
                 live = [len(x) > 0 for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if ok else None for x, ok in zip(sets, live, strict=True)], pa.binary()),
-                        pa.array([x if ok else None for x, ok in zip(band.view(np.int64), live, strict=True)], pa.list_(pa.int64())),
                         pa.array([x.tobytes() if ok else None for x, ok in zip(sig, live, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                    ["doc_id", "n_shingles", "set_key", "sig"],
                 )
 
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+    schema = "doc_id long, n_shingles long, set_key binary, sig binary"
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, items: the shingle hashes as binary."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of SLOTS bits (a fixed 2 MB) with the hashed doc_ids set: one-hash Bloom filter."""
+    slot = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+    per = 32_768
+    rows = slot.groupBy(F.floor(F.col("slot") / per).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % per).alias("bits")).collect()  # SLOTS / per rows at most
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in rows:
+        bits[r.part * per // 8 : (r.part + 1) * per // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits
+
+
+def full_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
+    """doc_id, items: the shingle hashes, as binary, of the documents in ids.
+
+    The texts are filtered by a bitmap of fixed size where they are read, so that they are not
+    shuffled; a join with ids then settles the bitmap's few false hits.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            slot = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits.value[slot >> 3] >> (slot & 7)) & 1 == 1, pa.bool_()))
             for part in range(0, b.num_rows, 512):
                 piece = b.slice(part, 512)
                 items = pa.array([x.tobytes() for x in shingle_sets(piece.column(1), words)], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column(0), items], ["doc_id", "items"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, items binary")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+    return rows.mapInArrow(run, "doc_id long, items binary").join(ids, "doc_id", "left_semi")
 
 
 def _agree(a: bytes, b: bytes) -> float:
@@ -199,14 +218,71 @@ def star_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+_TILE_KEY = ["key", "low", "high", "kind"]
+
+
+def _tile_rows(placed: DataFrame) -> DataFrame:
+    """Members (key, doc, component) of open buckets, dealt into tiles (key, low, high, kind), with block.
+
+    kind 0: blocks low and high of the members outside the largest component; kind 1: such a block
+    (low) against a block (high) of the largest component.
+    """
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"))
+    rows = placed.join(sums, "key").withColumn("minor", F.col("component") != F.col("top.component"))
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    rows = rows.withColumn("mb", blocks(F.col("total") - F.col("top.n"))).withColumn("tb", blocks(F.col("top.n")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), F.when(F.col("minor"), F.col("mb")).otherwise(F.col("tb"))).cast("int"))
+    own, upto = F.col("block"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    tile = lambda low, high, kind: F.struct(low.alias("low"), high.alias("high"), F.lit(kind).alias("kind"))
+    minors = F.concat(F.transform(upto("mb"), lambda j: tile(F.least(own, j), F.greatest(own, j), 0)), F.transform(upto("tb"), lambda j: tile(own, j, 1)))
+    tiles = F.when(F.col("minor"), minors).otherwise(F.transform(upto("mb"), lambda j: tile(j, own, 1)))
+    side = F.when(F.col("minor"), F.lit(0)).otherwise(F.lit(1))
+    rows = rows.select("key", "doc", "component", "block", side.alias("side"), F.explode(tiles).alias("t"))
+    return rows.select("key", "t.low", "t.high", "t.kind", "doc", "component", "block", "side")
+
+
+def _compare(g: pd.DataFrame, i: int, sig: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows j > i of another component that this tile compares with row i, their agreement)."""
+    other = comp[i + 1 :] != comp[i]
+    if g["kind"].iloc[0] == 1:
+        other &= g["side"].to_numpy()[i + 1 :] != g["side"].iloc[i]
+    elif g["low"].iloc[0] != g["high"].iloc[0]:
+        other &= g["block"].to_numpy()[i + 1 :] != g["block"].iloc[i]
+    j = i + 1 + np.flatnonzero(other)
+    agree = (sig[j] == sig[i]).mean(axis=1) if len(j) else np.zeros(0)
+    return j[agree >= AGREE], agree[agree >= AGREE]
+
+
+_ROW = "key long, low int, high int, kind int, doc long, component long, block int, side int, sig binary"
+
+
+def _likely_rows(members: DataFrame) -> DataFrame:
+    """The tile rows with at least one partner of another component whose signature agrees."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.reset_index(drop=True)
+        sig, comp = np.stack([np.frombuffer(x, np.uint16)[::2] for x in g.sig]), g.component.to_numpy()
+        ok = np.zeros(len(g), bool)
+        for i in range(len(g) - 1):
+            j, _ = _compare(g, i, sig, comp)
+            if len(j):
+                ok[i] = True
+                ok[j] = True
+        return g[ok]
+
+    columns = [x.split()[0] for x in _ROW.split(", ")]
+    return members.select(*columns).groupBy(*_TILE_KEY).applyInPandas(run, _ROW)
+
+
 def _tile_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components within each tile of a bucket, a spanning set of them."""
+    """Links (a, b) between different components within each tile, enough to join them."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["doc", "block"]).reset_index(drop=True)
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in g.sig])
-        comp, block, items, doc = g.component.to_numpy(), g.block.to_numpy(), g["items"].tolist(), g.doc.tolist()
-        root: dict[int, int] = {int(c): int(c) for c in comp}
+        g = g.sort_values("doc").reset_index(drop=True)
+        sig, comp = np.stack([np.frombuffer(x, np.uint16)[::2] for x in g.sig]), g.component.to_numpy()
+        items, doc = g["items"].tolist(), g.doc.tolist()
+        root = {int(c): int(c) for c in comp}
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -214,14 +290,10 @@ def _tile_links(members: DataFrame, percent: int) -> DataFrame:
                 c = root[c]
             return c
 
-        same_tile = g.low.iloc[0] == g.high.iloc[0]
-        out, found = [], []
+        found, out = [], []
         for i in range(len(g) - 1):
-            agree = (sig[i + 1 :] == sig[i]).mean(axis=1)
-            ok = (agree >= AGREE) & (comp[i + 1 :] != comp[i])
-            if not same_tile:
-                ok &= block[i + 1 :] != block[i]
-            found += [(-agree[j], i, i + 1 + j) for j in np.flatnonzero(ok).tolist()]
+            j, agree = _compare(g, i, sig, comp)
+            found += zip((-agree).tolist(), [i] * len(j), j.tolist(), strict=True)
         for _, i, j in sorted(found):
             a, b = find(int(comp[i])), find(int(comp[j]))
             if a != b and _linked(items[i], items[j], percent):
@@ -229,7 +301,7 @@ def _tile_links(members: DataFrame, percent: int) -> DataFrame:
                 out.append((doc[i], doc[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("pos", "band", "low", "high").applyInPandas(run, "a long, b long")
+    return members.groupBy(*_TILE_KEY).applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -237,38 +309,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ship(docs.sparkSession)
     known = materialize(sketch(docs, words), "sketch")
     classes = materialize(known.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", "bands", "sig"), "reps")
-    rows = reps.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("pos", "band"))
-    centre = F.min(F.struct(F.xxhash64("doc").alias("h"), "doc"))
-    buckets = rows.groupBy("pos", "band").agg(F.count("*").alias("size"), centre.alias("c")).where("size > 1").select("pos", "band", "size", F.col("c.doc").alias("centre"))
-    crowd = materialize(rows.join(buckets, ["pos", "band"]), "buckets")
-    pairs = crowd.where("doc <> centre").select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
-    likely = materialize(_keep_pairs(_with_both(pairs, reps, "doc_id", "sig"), "sig", percent), "likely")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
+    mine = classes.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("key"))
+    reps = known.join(mine, "doc_id").where("key = set_key").dropDuplicates(["doc_id"]).select("doc_id", "sig")  # one shuffle, by doc_id
+    reps = materialize(reps, "reps")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.col("sig").substr(i * (4 * BAND_ROWS) + 1, F.lit(4 * BAND_ROWS)), i))
+    rows = reps.select(F.col("doc_id").alias("doc"), F.explode(bands).alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    crowd = materialize(rows.join(buckets, "key"), "buckets")
+    social = crowd.groupBy("doc").agg(F.sum("size").alias("degree"))
+    centres = crowd.join(social, "doc").groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("c")).select("key", F.col("c.doc").alias("centre"))
+    signed = materialize(reps.join(social.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), "signed")
+    pairs = crowd.join(centres, "key").where("doc <> centre").select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
+    likely = materialize(_keep_pairs(_with_both(pairs, signed, "doc_id", "sig"), "sig", percent), "likely")
     def sets_of(ids: DataFrame) -> DataFrame:
-        # repeated rows of one id: a representative has one text, so any of its rows with that set
-        return full_sets(texts.join(ids, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("items").alias("items"))
+        # repeated rows of one id share a set, or any one of them stands for it
+        return full_sets(docs, words, ids).dropDuplicates(["doc_id"])
 
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     links = materialize(_keep_pairs(_with_both(likely, materialize(sets_of(ids), "sets"), "doc_id", "items"), "set", percent), "links")
     stars = materialize(star_components(links), "components")
 
     # buckets of more than one component, each set of members once
-    at = crowd.join(stars.withColumnRenamed("node", "doc"), "doc", "left").select("pos", "band", "size", "doc", F.coalesce("component", "doc").alias("component"))
+    at = crowd.join(stars.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     at = materialize(at, "placed")
     mark = F.struct(F.sum(F.xxhash64("doc").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("doc", F.lit(1))), F.count("*"))
-    open_ = at.groupBy("pos", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark")).where("lo <> hi")
-    open_ = open_.groupBy("mark").agg(F.min(F.struct("pos", "band")).alias("k")).select("k.pos", "k.band")
-    rest = at.join(open_, ["pos", "band"], "left_semi")
-    blocks = F.ceil(F.col("size") / TILE).cast("long")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.select("pos", "band", "doc", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rest = materialize(rest, "open")
-    need = materialize(sets_of(rest.select(F.col("doc").alias("doc_id")).distinct()), "opensets").join(reps.select("doc_id", "sig"), "doc_id")
-    more = _tile_links(rest.join(need.withColumnRenamed("doc_id", "doc"), "doc"), percent)
-    final = star_components(links.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(materialize(more, "more")))
+    open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark")).where("lo <> hi")
+    open_ = open_.groupBy("mark").agg(F.min("key").alias("key")).select("key")
+    tiles = _tile_rows(materialize(at.join(open_, "key", "left_semi"), "open"))
+    some = materialize(_likely_rows(tiles.join(signed.withColumnRenamed("doc_id", "doc"), "doc")), "some")
+    items = materialize(sets_of(some.select(F.col("doc").alias("doc_id")).distinct()), "opensets")
+    more = materialize(_tile_links(some.join(items.withColumnRenamed("doc_id", "doc"), "doc"), percent), "more")
+    final = star_components(more.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     placed = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = known.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
