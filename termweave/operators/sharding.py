@@ -22,7 +22,8 @@ class Sharding:
 
 def hash_shard(seed: Column, count: int) -> Column:
     """hNN by FNV-1a modulo the count; one shard is called default."""
-    return F.lit("default") if count <= 1 else F.concat(F.lit("h"), F.lpad((fnv1a(seed) % count).cast("string"), 2, "0"))
+    one = F.substring(F.concat(F.lit("default"), F.coalesce(seed, F.lit(""))), 1, 7)  # no literal: joins on it stay equi-joins
+    return one if count <= 1 else F.concat(F.lit("h"), F.lpad((fnv1a(seed) % count).cast("string"), 2, "0"))
 
 
 def shard_key(sharding: Sharding, doc_id: Column, get) -> Column:
