@@ -432,9 +432,9 @@ def graph_stats(spark, sf_dir):
     return graph.stats(e, e.select("src").distinct(), e.select(F.lit("").alias("field"), F.col("dst").alias("term")))
 
 
-@query(_TRADE + " SELECT src AS node, count(*) AS degree, round(avg(weight), 9) AS avg_weight, max(weight) AS max_weight, min(weight) AS min_weight FROM e GROUP BY src")
+@query(_TRADE + " SELECT src AS node, count(*) AS degree, round(avg(weight), 12) AS avg_weight, max(weight) AS max_weight, min(weight) AS min_weight FROM e GROUP BY src")
 def node_features(spark, sf_dir):
-    return graph.node_features(_trade(spark, sf_dir)).withColumn("avg_weight", F.round("avg_weight", 9))
+    return graph.node_features(_trade(spark, sf_dir)).withColumn("avg_weight", F.round("avg_weight", 12))
 
 
 _HOP = """, u AS MATERIALIZED (SELECT * FROM {e} WHERE dst <> 's1'),
