@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, licenses, lm_scoring, minhash, packing, quality, token_counts, toxicity
+from . import ann, exact_topk, licenses, lm_scoring, minhash, packing, pieces, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: ids divisible by 20 query all rows for their 20 nearest."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -67,6 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_approximate_nearest_neighbours": op3_approximate_nearest_neighbours,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
