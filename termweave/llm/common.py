@@ -1,6 +1,6 @@
 """Helpers shared by the llm operators: shared-folder tables, byte-level words, tokenizers.
 
-Texts are handled as UTF-8 bytes straight from Arrow buffers, a few megabytes at a time, so a
+Texts are handled as UTF-8 bytes straight from Arrow buffers, half a megabyte at a time, so a
 batch never needs more than a small multiple of its own bytes, whatever the number of rows in it.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel works on at once; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
