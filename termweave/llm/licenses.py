@@ -2,10 +2,11 @@
 
 TEMPLATES are short licence passages. Their words make an index: (word, template, position), with
 IDF over the templates. A file that holds an anchor word (every key phrase has one) is cut into
-words; its RARE distinct licence words of highest IDF look up their postings, and each gives a
-relative position (place in the file minus place in the template). At each position found so, all
-licence words of the file vote: a template is reported where at least MIN_SHARE of its words lie in
-place and its mandatory key phrase is whole. Base phrases are searched in every text.
+words; each licence word looks up its postings and votes for a relative position (place in the file
+minus place in the template). At every position with a vote, a template is reported where at least
+MIN_SHARE of its words lie in place and its mandatory key phrase is whole. Base phrases are searched
+in every text. The SQL still opens positions by a file's RARE words of highest IDF alone, so it
+lacks templates of files with more licence words than that.
 
 The index is fixed (a few hundred rows), so it is broadcast. Only occurrences of licence words in
 files with an anchor are shuffled; files are keyed by two hashes of id and text.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,17 +93,12 @@ def scan(docs: DataFrame) -> DataFrame:
     raw_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same runs before lowering
 
     index = F.broadcast(spark.createDataFrame(postings(), "word string, template int, place int, idf double"))
-    vocabulary = F.broadcast(spark.createDataFrame(sorted({(w, idf) for w, _, _, idf in postings()}), "word string, idf double"))
     templates = F.broadcast(spark.createDataFrame(template_rows(), "template int, label string, size int, key_bits long"))
     cut = rows.where(any_anchor).select("h1", "h2", F.posexplode(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))).alias("pos", "word"))
-    seen = cut.join(vocabulary, "word")
-    nth = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy(F.desc("idf"), "word"))
-    votes = seen.withColumn("rare", nth <= RARE).join(index.drop("idf"), "word")
-    votes = votes.groupBy("h1", "h2", "template", (F.col("pos") - F.col("place")).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"), F.max("rare").alias("rare")
-    )
+    votes = cut.join(index.drop("idf"), "word")
+    votes = votes.groupBy("h1", "h2", "template", (F.col("pos") - F.col("place")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
     share = F.bit_count("bits") / F.col("size")
-    found = votes.where("rare").join(templates, "template").where((F.col("bits").bitwiseAND(F.col("key_bits")) == F.col("key_bits")) & (share >= MIN_SHARE))
+    found = votes.join(templates, "template").where((F.col("bits").bitwiseAND(F.col("key_bits")) == F.col("key_bits")) & (share >= MIN_SHARE))
     found = found.groupBy("h1", "h2").agg(F.collect_set("label").alias("more"), F.max(share).alias("best"))
 
     words = F.when(F.contains(lowered, F.lit("license")), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))

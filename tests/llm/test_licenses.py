@@ -55,3 +55,12 @@ def test_no_python_in_the_plan_and_empty_table(spark):
 
 def test_templates_fit_the_bits():
     assert all(n <= 62 and bits for _, _, n, bits in licenses.template_rows())
+
+
+def test_every_passage_is_found_beside_all_others_and_common_prose(spark):
+    prose = "are as at can for it code conditions deal files following form "
+    texts = [" x ".join(p for _, p, _ in licenses.TEMPLATES), *(prose + p for _, p, _ in licenses.TEMPLATES)]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: set(r.labels.split(",")) for r in rows}
+    assert got[0] == {x for x, _, _ in licenses.TEMPLATES}
+    assert all(x in got[k + 1] for k, (x, _, _) in enumerate(licenses.TEMPLATES))
