@@ -1,7 +1,10 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, scores documents.
 
-Words of all documents are counted; the most frequent ones are the vocabulary, rarer words fall
-into hashed classes of rare words. The network sums position-specific embeddings of SIDE words on
+Words of all documents are counted; the most frequent ones are the vocabulary, which grows with the
+cube root of the number of words (side_of), and rarer words fall into hashed classes of rare words.
+A rare word's probability is its class's times count / (class count + 1); a word that was not
+counted takes 1 / (class count + 1), the share that the counted ones leave. Counts of the KEPT most
+frequent words are broadcast, rarer words meet theirs in a join. The network sums position-specific embeddings of SIDE words on
 each side of the masked one, applies tanh, and predicts it by a two-level softmax (a class of
 words, then the word in the class). Every task trains a copy from one seeded start on its own
 documents, on every STRIDE-th place of each from a hashed start, so all documents take part and the
@@ -24,39 +27,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, mix, ship, span_hashes, text_slices, word_spans
+from .common import NON_SPACE, materialize, mix, ship, span_hashes, text_slices, word_spans
 
+#: The least size; side_of() gives the size for a corpus.
 GROUPS = 32
 MEMBERS = 32
 VOCABULARY = GROUPS * MEMBERS
 RARE = 64
+KEPT = 1 << 18
 SIDE = 2
 WIDTH = 32
 STRIDE = 4
 BATCH = 2048
 RATE = 0.15
 BLOCK = 16_384
-_SHAPES = [(2 * SIDE, VOCABULARY + 1, WIDTH), (GROUPS, WIDTH), (GROUPS,), (GROUPS, MEMBERS, WIDTH), (GROUPS, MEMBERS)]
 
 
-def start() -> list[np.ndarray]:
+def side_of(words: int) -> int:
+    """Groups, and members of each, for a corpus of so many words."""
+    return max(GROUPS, int(np.ceil(GROUPS * (words / 1e6) ** (1 / 6))))
+
+
+def rare_of(side: int) -> int:
+    """Classes of rare words: a power of two near a sixteenth of the ids."""
+    return 1 << (side * side * RARE // VOCABULARY).bit_length() - 1
+
+
+def _shapes(side: int) -> list[tuple[int, ...]]:
+    return [(2 * SIDE, side * side + 1, WIDTH), (side, WIDTH), (side,), (side, side, WIDTH), (side, side)]
+
+
+def start(side: int = GROUPS) -> list[np.ndarray]:
     """The seeded parameters that every task begins with."""
-    random = np.random.default_rng(1)
-    return [(random.standard_normal(s) * (0.1 if len(s) > 1 and s != _SHAPES[-1] else 0.0)).astype(np.float32) for s in _SHAPES]
+    random, shapes = np.random.default_rng(1), _shapes(side)
+    return [(random.standard_normal(s) * (0.1 if len(s) > 1 and k < len(shapes) - 1 else 0.0)).astype(np.float32) for k, s in enumerate(shapes)]
 
 
 def flat(params: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in params])
 
 
-def shaped(values: np.ndarray) -> list[np.ndarray]:
-    ends = np.cumsum([int(np.prod(s)) for s in _SHAPES])
-    return [x.reshape(s) for x, s in zip(np.split(values, ends[:-1]), _SHAPES, strict=True)]
+def shaped(values: np.ndarray, side: int = GROUPS) -> list[np.ndarray]:
+    ends = np.cumsum([int(np.prod(s)) for s in _shapes(side)])
+    return [x.reshape(s) for x, s in zip(np.split(values, ends[:-1]), _shapes(side), strict=True)]
 
 
-def word_ids(h: np.ndarray, known: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Vocabulary ids of word hashes; known is sorted. Rare words take one of the last RARE ids."""
-    out = (VOCABULARY - RARE + (h % np.uint64(RARE)).astype(np.int64)).astype(np.int32)
+def word_ids(h: np.ndarray, known: np.ndarray, ids: np.ndarray, side: int = GROUPS) -> np.ndarray:
+    """Vocabulary ids of word hashes; known is sorted. Rare words take one of the last ids."""
+    rare = rare_of(side)
+    out = (side * side - rare + (h % np.uint64(rare)).astype(np.int64)).astype(np.int32)
     if len(known):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[at] == h
@@ -64,11 +83,11 @@ def word_ids(h: np.ndarray, known: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """(words, 2 * SIDE) ids of the words around each, padded with VOCABULARY at document ends."""
+def contexts(ids: np.ndarray, ptr: np.ndarray, side: int = GROUPS) -> np.ndarray:
+    """(words, 2 * SIDE) ids of the words around each, padded with the id after all at document ends."""
     n = len(ids)
     first, last = np.repeat(ptr[:-1], np.diff(ptr)), np.repeat(ptr[1:], np.diff(ptr))
-    out = np.full((n, 2 * SIDE), VOCABULARY, np.int32)
+    out = np.full((n, 2 * SIDE), side * side, np.int32)
     for col, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         at = np.arange(n) + d
         ok = (at >= first) & (at < last)
@@ -93,19 +112,20 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 def log_p(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each word given the words around it."""
     out = np.empty(len(ids), np.float64)
+    groups, members = params[4].shape
     for a in range(0, len(ids), 1 << 15):
         w = ids[a : a + (1 << 15)]
-        order = np.argsort(w // MEMBERS, kind="stable")
+        order = np.argsort(w // members, kind="stable")
         w = w[order]
-        group = w // MEMBERS
+        group = w // members
         h = hidden(params, around[a : a + len(w)][order])
         z = _log_softmax(h @ params[1].T + params[2])[np.arange(len(w)), group].astype(np.float64)
-        ptr = np.searchsorted(group, np.arange(GROUPS + 1))
-        for g in range(GROUPS):
+        ptr = np.searchsorted(group, np.arange(groups + 1))
+        for g in range(groups):
             i, j = ptr[g], ptr[g + 1]
             if i < j:
                 m = _log_softmax(h[i:j] @ params[3][g].T + params[4][g])
-                z[i:j] += m[np.arange(j - i), w[i:j] % MEMBERS]
+                z[i:j] += m[np.arange(j - i), w[i:j] % members]
         out[a + order] = z
     return out
 
@@ -113,21 +133,22 @@ def log_p(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.n
 def train_step(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray, rate: float) -> None:
     """One step of gradient ascent on the mean log probability, in place."""
     e, wg, bg, wm, bm = params
-    order = np.argsort(ids // MEMBERS, kind="stable")
+    groups, members = bm.shape
+    order = np.argsort(ids // members, kind="stable")
     ids, around = ids[order], around[order]
-    n, group = len(ids), ids // MEMBERS
+    n, group = len(ids), ids // members
     h = hidden(params, around)
     dz = -np.exp(_log_softmax(h @ wg.T + bg))
     dz[np.arange(n), group] += 1
     dh = dz @ wg
     scale = rate / n * 32  # a batch moves as 32 places: frequent words are in many places of a batch
     wg_step, bg_step = dz.T @ h, dz.sum(axis=0)
-    ptr = np.searchsorted(group, np.arange(GROUPS + 1))
-    for g in range(GROUPS):
+    ptr = np.searchsorted(group, np.arange(groups + 1))
+    for g in range(groups):
         i, j = ptr[g], ptr[g + 1]
         if i < j:
             dm = -np.exp(_log_softmax(h[i:j] @ wm[g].T + bm[g]))
-            dm[np.arange(j - i), ids[i:j] % MEMBERS] += 1
+            dm[np.arange(j - i), ids[i:j] % members] += 1
             dh[i:j] += dm @ wm[g]
             wm[g] += scale * (dm.T @ h[i:j])
             bm[g] += scale * dm.sum(axis=0)
@@ -174,20 +195,29 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(text as string) as text").mapInArrow(run, "word long, n long")
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def counted(docs: DataFrame) -> DataFrame:
+    """word (hash), n over all of docs, kept as a table."""
+    return materialize(_count(docs).groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+
+
+def _top(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, by rank."""
+    top = counts.orderBy(F.desc("n"), "word").limit(most).toPandas()
+    return top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None, side: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, ids) of the most frequent words; ids follow frequency ranks."""
-    counts = _count(docs).groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).toPandas()
-    h = top.word.to_numpy(np.int64).view(np.uint64)
+    h, _ = _top(counted(docs) if counts is None else counts, side * side - rare_of(side))
     order = np.argsort(h)
     return h[order], order.astype(np.int32)
 
 
-def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray, side: int = GROUPS) -> list[np.ndarray]:
     """Parameters averaged over the tasks; see the module's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        params, seen = start(), 0
+        params, seen = start(side), 0
         wait: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
@@ -202,12 +232,12 @@ def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray) -> list[np.ndarra
             for _, _, buf, offsets in text_slices(b.column(0)):
                 s, e, ptr = word_spans(buf, offsets, NON_SPACE)
                 h = span_hashes(buf, s, e)
-                w = word_ids(h, known, ids)
+                w = word_ids(h, known, ids, side)
                 first = np.minimum(ptr[:-1], max(0, len(h) - 1))
                 begin = mix(h[first] + np.diff(ptr).astype(np.uint64)) % np.uint64(STRIDE) if len(h) else np.zeros(len(ptr) - 1, np.uint64)
                 nth = np.arange(len(h)) - np.repeat(ptr[:-1], np.diff(ptr)) + np.repeat(begin.astype(np.int64), np.diff(ptr))
                 use = nth % STRIDE == 0
-                wait.append((contexts(w, ptr)[use], w[use]))
+                wait.append((contexts(w, ptr, side)[use], w[use]))
                 waiting += int(use.sum())
                 seen += int(use.sum())
                 if waiting >= 32 * BATCH:
@@ -234,35 +264,77 @@ def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray) -> list[np.ndarra
     halfway = copies.groupBy("block", (F.col("part") % 64).alias("p64")).applyInPandas(mean, schema)
     blocks = halfway.groupBy("block").applyInPandas(mean, schema).toPandas().sort_values("block")  # one model's size
     if blocks.empty:
-        return start()
-    return shaped(np.concatenate([np.frombuffer(x, np.float32) for x in blocks["items"]]))
+        return start(side)
+    return shaped(np.concatenate([np.frombuffer(x, np.float32) for x in blocks["items"]]), side)
+
+
+def score(docs: DataFrame, params: list[np.ndarray], known: np.ndarray, ids: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, sum_logp, mean_logp, pseudo_perplexity for every row; counts are those of docs if not given."""
+    counts = counted(docs) if counts is None else counts
+    side = len(params[2])
+    rare = rare_of(side)
+    top, top_n = _top(counts, max(KEPT, len(known)))
+    in_class = np.zeros(rare, np.int64)
+    # hashes are 64 bits without a sign and rare is a power of two, so the lowest bits are the class
+    for c, n in counts.groupBy(F.col("word").bitwiseAND(F.lit(rare - 1)).alias("c")).agg(F.sum("n").alias("n")).collect():
+        in_class[c] = n
+    np.subtract.at(in_class, (top[: len(known)] % np.uint64(rare)).astype(np.int64), top_n[: len(known)])
+    order = np.argsort(top)
+    # of fixed size but for params, known and ids, which grow as side_of() has it
+    model = docs.sparkSession.sparkContext.broadcast((params, known, ids, top[order], np.log(top_n[order]), np.log(in_class + 1.0)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A record for each row, with a word that is no word, and one for each rare word outside top in it."""
+        params, known, ids, top, log_n, log_class = model.value
+        uid = TaskContext.get().partitionId() << 33
+        names = ["uid", "doc_id", "n_words", "sum_logp", "word", "times"]
 
-def score(docs: DataFrame, params: list[np.ndarray], known: np.ndarray, ids: np.ndarray) -> DataFrame:
-    """doc_id, n_words, sum_logp, mean_logp, pseudo_perplexity for every row."""
-    model = docs.sparkSession.sparkContext.broadcast((params, known, ids))  # of fixed size
+        def far(uids: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(uids), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(uids), none, none, pa.array(np.zeros(len(uids))), pa.array(words.view(np.int64)), pa.array(np.ones(len(uids), np.int32))], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, known, ids = model.value
         for b in batches:
             counts, sums = [], []
-            for _, _, buf, offsets in text_slices(b.column(1)):
+            for row, upto_row, buf, offsets in text_slices(b.column(1)):
                 s, e, ptr = word_spans(buf, offsets, NON_SPACE)
-                w = word_ids(span_hashes(buf, s, e), known, ids)
-                upto = np.concatenate([[0.0], np.cumsum(log_p(params, contexts(w, ptr), w))])
+                h = span_hashes(buf, s, e)
+                w = word_ids(h, known, ids, side)
+                p = log_p(params, contexts(w, ptr, side), w)
+                at = np.flatnonzero(w >= side * side - rare)
+                if len(at):
+                    p[at] -= log_class[w[at] - (side * side - rare)]
+                    k = np.minimum(np.searchsorted(top, h[at]), len(top) - 1) if len(top) else np.zeros(len(at), np.int64)
+                    hit = top[k] == h[at] if len(top) else np.zeros(len(at), bool)
+                    p[at[hit]] += log_n[k[hit]]
+                    of = np.repeat(np.arange(row, upto_row), np.diff(ptr))[at[~hit]]
+                    words = h[at[~hit]]
+                    for a in range(0, len(of), 65_536):
+                        yield far(uid + of[a : a + 65_536], words[a : a + 65_536])
+                upto = np.concatenate([[0.0], np.cumsum(p)])
                 counts.append(np.diff(ptr))
                 sums.append(upto[ptr[1:]] - upto[ptr[:-1]])
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             total = np.where(n > 0, np.concatenate(sums), 0.0) if counts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_words", "sum_logp"])
-
-    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, n_words long, sum_logp double")
+            uids = uid + np.arange(len(n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uids), b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mix(uids.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(n), np.int32))], names
+            )
+            uid += len(n)
+
+    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    rows = rows.mapInArrow(run, "uid long, doc_id long, n_words long, sum_logp double, word long, times int")
+    rows = rows.join(counts.where("n > 1"), "word", "left")  # a word that occurred once adds log 1
+    rows = rows.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(F.col("sum_logp") + F.col("times") * F.log(F.coalesce("n", F.lit(1)))).alias("sum_logp")
+    )
     mean = F.when(F.col("n_words") > 0, F.col("sum_logp") / F.col("n_words"))
-    return rows.withColumn("mean_logp", mean).withColumn("pseudo_perplexity", F.exp(-F.col("mean_logp")))
+    return rows.select("doc_id", "n_words", "sum_logp", mean.alias("mean_logp")).withColumn("pseudo_perplexity", F.exp(-F.col("mean_logp")))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Count, train and score over all of docs."""
     ship(docs.sparkSession)
-    known, ids = vocabulary(docs)
-    return score(docs, train(docs, known, ids), known, ids)
+    counts = counted(docs)
+    side = side_of(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    known, ids = vocabulary(docs, counts, side)
+    return score(docs, train(docs, known, ids, side), known, ids, counts)

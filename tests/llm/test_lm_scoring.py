@@ -84,3 +84,34 @@ def test_vocabulary_is_the_most_frequent_words(spark):
     order = [int(known[np.flatnonzero(ids == k)[0]]) for k in range(3)]
     h = {w: int(hash_words([w])[0]) for w in "abc"}
     assert order == [h["b"], h["a"], h["c"]]
+
+
+def test_rare_words_take_their_share_of_the_class(spark, monkeypatch):
+    from termweave.llm.common import hash_words
+
+    top = [f"top{k}" for k in range(lm.VOCABULARY - lm.RARE)]
+    rare = [f"rare{k}" for k in range(400)]
+    times = {w: 1 + k % 7 for k, w in enumerate(rare)}
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(top * 9)] + [(-1, w) for w in rare for _ in range(times[w])], "doc_id long, text string")
+    counts = lm.counted(docs)
+    known, ids = lm.vocabulary(docs, counts)
+    asked = spark.createDataFrame(list(enumerate([*rare, "unseen"])), "doc_id long, text string")
+    classes = hash_words([*rare, "unseen"]) % lm.RARE
+    total = [sum(times[w] for w, x in zip(rare, classes) if x == c) for c in range(lm.RARE)]
+    params = lm.start()
+    pad = np.full((len(classes), 2 * lm.SIDE), lm.VOCABULARY, np.int32)
+    p_class = lm.log_p(params, pad, (lm.VOCABULARY - lm.RARE + classes.astype(np.int64)).astype(np.int32))
+    want = p_class + np.log([times.get(w, 1) / (total[c] + 1) for w, c in zip([*rare, "unseen"], classes)])
+    for kept in (lm.KEPT, 1100):  # all counts broadcast; most of them joined
+        monkeypatch.setattr(lm, "KEPT", kept)
+        got = {r.doc_id: r.sum_logp for r in lm.score(asked, params, known, ids, counts).collect()}
+        assert np.allclose([got[k] for k in range(len(want))], want, atol=1e-4)
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    assert lm.side_of(0) == lm.side_of(1_000_000) == lm.GROUPS and lm.side_of(64_000_000) == 2 * lm.GROUPS
+    assert lm.rare_of(lm.GROUPS) == lm.RARE and lm.rare_of(2 * lm.GROUPS) == 4 * lm.RARE
+    docs = spark.createDataFrame([(" ".join(f"w{k}" for k in range(5000)),)], "text string")
+    known, ids = lm.vocabulary(docs, side=64)
+    assert len(known) == 64 * 64 - lm.rare_of(64)
+    assert lm.train(docs, known, ids, 64)[0].shape[1] == 64 * 64 + 1
