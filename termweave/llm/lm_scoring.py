@@ -7,8 +7,7 @@ counted takes 1 / (class count + 1), the share that the counted ones leave. Coun
 frequent words are broadcast, rarer words meet theirs in a join. The network sums position-specific embeddings of SIDE words on
 each side of the masked one, applies tanh, and predicts it by a two-level softmax (a class of
 words, then the word in the class). Every task trains a copy from one seeded start on its own
-documents, on every STRIDE-th place of each from a hashed start, so all documents take part and the
-work grows with the input; copies are averaged by their numbers of places, block by block, in two
+documents, on every place of each; copies are averaged by their numbers of places, block by block, in two
 levels. A second pass predicts every word of every document from both sides and sums log p.
 
 Cases: null and empty texts have n_words 0, sum_logp 0 and null mean; a single word is predicted
@@ -37,7 +36,6 @@ RARE = 64
 KEPT = 1 << 18
 SIDE = 2
 WIDTH = 32
-STRIDE = 4
 BATCH = 2048
 RATE = 0.15
 BLOCK = 16_384
@@ -233,13 +231,9 @@ def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray, side: int = GROUP
                 s, e, ptr = word_spans(buf, offsets, NON_SPACE)
                 h = span_hashes(buf, s, e)
                 w = word_ids(h, known, ids, side)
-                first = np.minimum(ptr[:-1], max(0, len(h) - 1))
-                begin = mix(h[first] + np.diff(ptr).astype(np.uint64)) % np.uint64(STRIDE) if len(h) else np.zeros(len(ptr) - 1, np.uint64)
-                nth = np.arange(len(h)) - np.repeat(ptr[:-1], np.diff(ptr)) + np.repeat(begin.astype(np.int64), np.diff(ptr))
-                use = nth % STRIDE == 0
-                wait.append((contexts(w, ptr, side)[use], w[use]))
-                waiting += int(use.sum())
-                seen += int(use.sum())
+                wait.append((contexts(w, ptr, side), w))
+                waiting += len(w)
+                seen += len(w)
                 if waiting >= 32 * BATCH:
                     learn(wait)
                     wait, waiting = [], 0

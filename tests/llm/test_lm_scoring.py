@@ -115,3 +115,12 @@ def test_vocabulary_grows_with_the_corpus(spark):
     known, ids = lm.vocabulary(docs, side=64)
     assert len(known) == 64 * 64 - lm.rare_of(64)
     assert lm.train(docs, known, ids, 64)[0].shape[1] == 64 * 64 + 1
+
+
+def test_every_place_is_a_target(spark):
+    for word in ("one", "two", "three", "four", "five", "six"):
+        docs = spark.createDataFrame([(word,)], "text string")
+        known, ids = lm.vocabulary(docs)
+        params = lm.train(docs, known, ids)
+        assert not np.array_equal(params[2], lm.start()[2])  # the word's own group rose
+        assert params[2].argmax() == 0
