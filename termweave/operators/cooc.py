@@ -1,7 +1,7 @@
 """Co-occurring terms: positional pairs within sentences, and weighted edges.
 
-Pairs of a document are made and summed inside one row where sentences are short, and through a
-bucketed range join where they are long, so no row ever holds the pairs of a whole long sentence.
+row_pairs makes the pairs of a sentence inside its row; pair_rows does it for token rows, through a
+join on blocks of places.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import analysis, scoring
+from .index import Spec, sharded
 
 
 def compressed(tokens: DataFrame) -> DataFrame:
@@ -32,15 +33,61 @@ def pair_rows(tokens: DataFrame, window: int, decay: str = "log") -> DataFrame:
     return near.select("shard_id", "field", "doc_id", F.least("term", "b").alias("term_a"), F.greatest("term", "b").alias("term_b"), weight.alias("weight"))
 
 
-def row_pairs(docs: DataFrame, words: Column, window: int, decay: str = "log", keep: tuple[str, ...] = ("shard_id", "field")) -> DataFrame:
-    """The same for short texts given as one word array per row: array functions, no shuffle before the sums."""
-    at = F.posexplode("w").alias("at", "a")
-    rows = docs.select(*keep, words.alias("w")).select(*keep, "w", at)
-    after = F.slice("w", F.col("at") + 2, window)
-    rows = rows.where(F.size("w") > F.col("at") + 1).select(*keep, "a", F.posexplode(after).alias("gap", "b")).where("a <> b")
+def row_pairs(sentences: DataFrame, window: int, decay: str = "log", keep: tuple[str, ...] = ("shard_id", "field")) -> DataFrame:
+    """The same inside the row, for sentences given as rows with tokens array<struct<term, ...>>: no shuffle before the sums.
+
+    A token carries the `window` tokens after it, so a row holds at most `window` times its sentence. Places are those among the tokens given: positions are compressed within the sentence.
+    """
+    rows = sentences.select(*keep, F.col("tokens")["term"].alias("w"))
+    near = F.transform("w", lambda a, i: F.struct(a.alias("a"), F.slice("w", i + 2, window).alias("after")))
+    rows = rows.select(*keep, F.explode(near).alias("t")).select(*keep, F.col("t.a").alias("a"), F.posexplode("t.after").alias("gap", "b")).where("a <> b")
     return rows.select(*keep, F.least("a", "b").alias("term_a"), F.greatest("a", "b").alias("term_b"), scoring.decay(F.col("gap") + 1, decay).alias("weight"))
 
 
+def document_rows(docs: DataFrame, spec: Spec, window: int, decay: str = "log", fields: tuple[str, ...] = ()) -> DataFrame:
+    """shard_id, field, doc_id, term_a < term_b, weight: pairs of all text fields (or those listed), within sentences."""
+    parts, keep = [], ("shard_id", "field", "doc_id")
+    for f in spec.planned():
+        if f.kind != "text" or fields and f.name not in fields:
+            continue
+        name = spec.analyzer_of(f)
+        rows = sharded(docs, spec).select("shard_id", F.lit(f.name).alias("field"), F.col(spec.key).alias("doc_id"), F.col(f.name).cast("string").alias("value"))
+        parts.append(_restemmed(row_pairs(analysis.sentence_rows(rows, "value", keep, name), window, decay, keep), name))
+    return _union(parts)
+
+
+def document_pairs(docs: DataFrame, spec: Spec, window: int, decay: str = "log", fields: tuple[str, ...] = ()) -> DataFrame:
+    """Pair sums over documents; words are summed before they are stemmed, so the stemmer sees few pairs."""
+    parts = []
+    for f in spec.planned():
+        if f.kind != "text" or fields and f.name not in fields:
+            continue
+        name = spec.analyzer_of(f)
+        rows = sharded(docs, spec).select("shard_id", F.lit(f.name).alias("field"), F.col(f.name).cast("string").alias("value"))
+        found = pairs(row_pairs(analysis.sentence_rows(rows, "value", ("shard_id", "field"), name), window, decay))
+        if name != "simple":
+            found = _restemmed(found, name).groupBy("shard_id", "field", "term_a", "term_b").agg(F.sum("cnt").alias("cnt"), F.sum("wsum").alias("wsum"))
+        parts.append(found)
+    return _union(parts)
+
+
+def _restemmed(rows: DataFrame, name: str) -> DataFrame:
+    """Pairs of words as pairs of stems; those of one stem go."""
+    if name == "simple":
+        return rows
+    for side in ("term_a", "term_b"):
+        rows = analysis.stemmed(rows, side, name)
+    rows = rows.where("term_a <> term_b")
+    return rows.select(*(c for c in rows.columns if c not in ("term_a", "term_b")), F.least("term_a", "term_b").alias("term_a"), F.greatest("term_a", "term_b").alias("term_b"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def pairs(rows: DataFrame) -> DataFrame:
     """shard_id, field, term_a, term_b, cnt, wsum; partial sums before the shuffle."""
     return rows.groupBy("shard_id", "field", "term_a", "term_b").agg(F.count("*").alias("cnt"), F.sum("weight").alias("wsum"))

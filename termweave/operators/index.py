@@ -1,9 +1,15 @@
 """Documents to a positional inverted index with per-shard statistics.
 
 postings: shard_id, field, term, doc_id, tf, doc_len (distinct terms of the field), positions
-sorted. Built from one scan: words and doc_len come from array functions of the row, and the only
-shuffle is the aggregation of tokens to postings. The last row of a doc_id wins when documents are
-appended (by _seq). Statistics are aggregates of per-document lengths, not of postings.
+sorted. A text is cut into words once, and its words are grouped into postings inside its own row
+(sort, run starts, slices; linear but for the sort), so plain fields need no shuffle at all. The
+standard analyzer stems the grouped words in generated code and merges words of one stem in one
+shuffle by document. Statistics come from the postings. The last row of a doc_id wins when documents
+are appended (latest). No filter may stand on a column derived from a text's words, nor may such a column
+be exploded by name: the optimizer would push the filter down and cut the text again for every word.
+
+A stored index (write, read) is partitioned by shard and sorted by field and term, so a query reads
+the row groups of its terms only; rebalancing splits terms that a large share of the documents hold.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ class Field:
 
     name: str
     kind: str = "text"
-    analyzer: str = "simple"
+    analyzer: str = ""  # that of the index
     indexed: bool = True
 
 
@@ -36,21 +42,30 @@ class Spec:
     sharding: Sharding = field(default_factory=Sharding)
     shard_column: str = ""
     lower_keywords: bool = False
+    default_analyzer: str = "standard"
+
+    def analyzer_of(self, f: Field) -> str:
+        return f.analyzer or self.default_analyzer
 
     def text_analyzer(self, name: str) -> str:
-        return next((f.analyzer for f in self.fields if f.name == name and f.kind == "text"), "keyword")
+        return next((self.analyzer_of(f) for f in self.fields if f.name == name and f.kind == "text"), "keyword")
+
+    def planned(self) -> list[Field]:
+        """The fields that are indexed at all."""
+        return [f for f in self.fields if f.indexed and f.kind in ("text", "keyword", "integer")]
 
 
-def field_words(f: Field, spec: Spec) -> Column:
-    """array<string> of a field's terms in order; keywords and integers are one literal term."""
+def field_tokens(f: Field, spec: Spec) -> Column:
+    """array<struct<term, position>> of a field, unstemmed; keywords and integers are one literal term at 0."""
     value = F.col(f.name).cast("string")
     if f.kind == "text":
-        return analysis.simple_words(value)
+        return analysis.word_tokens(value, spec.analyzer_of(f))
     literal = F.lower(value) if spec.lower_keywords and f.kind == "keyword" else value
-    return F.when(value.isNotNull(), F.array(literal)).otherwise(F.array().cast("array<string>"))
+    one = F.array(F.struct(literal.alias("term"), F.lit(0).alias("position")))
+    return F.when(value.isNotNull(), one).otherwise(F.array().cast("array<struct<term:string,position:int>>"))
 
 
-def _sharded(docs: DataFrame, spec: Spec) -> DataFrame:
+def sharded(docs: DataFrame, spec: Spec) -> DataFrame:
     key = F.col(spec.key)
     shard = F.col(spec.shard_column).cast("string") if spec.shard_column else shard_key(spec.sharding, key, lambda f: F.col(f).cast("string"))
     return docs.withColumn("shard_id", shard)
@@ -62,44 +77,76 @@ def latest(docs: DataFrame, key: str, order: str) -> DataFrame:
     return docs.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-def tokens(docs: DataFrame, spec: Spec) -> DataFrame:
-    """shard_id, doc_id, field, term, position, sentence, doc_len: one row per token."""
-    rows, parts = _sharded(docs, spec), []
-    planned = [f for f in spec.fields if f.indexed and f.kind in ("text", "keyword", "integer")]
-    plain = [f for f in planned if f.kind != "text" or f.analyzer == "simple"]
-    if plain:
-        fields = F.array(*(F.struct(F.lit(f.name).alias("field"), field_words(f, spec).alias("words")) for f in plain))
-        literal = [f.name for f in plain if f.kind != "text"]
-        x = rows.select("shard_id", F.col(spec.key).alias("doc_id"), F.explode(fields).alias("f"))
-        x = x.select("shard_id", "doc_id", "f.field", F.size(F.array_distinct("f.words")).alias("doc_len"), F.posexplode("f.words").alias("at", "term"))
-        position = F.col("at") + F.when(F.col("field").isin(literal), 0).otherwise(1) if literal else F.col("at") + 1
-        parts.append(x.select("shard_id", "doc_id", "field", "term", position.cast("int").alias("position"), F.lit(0).alias("sentence"), "doc_len"))
-    for f in planned:
-        if f not in plain:
-            t = analysis.exact_tokens(rows.select(F.col(spec.key).alias("doc_id"), f.name), "doc_id", f.name, analyzer_name=f.analyzer)
-            lens = t.groupBy("doc_id").agg(F.countDistinct("term").cast("int").alias("doc_len"))
-            t = t.join(lens, "doc_id").join(rows.select(F.col(spec.key).alias("doc_id"), "shard_id"), "doc_id")
-            parts.append(t.select("shard_id", "doc_id", F.lit(f.name).alias("field"), "term", "position", "sentence", "doc_len"))
+def tokens(docs: DataFrame, spec: Spec, fields: tuple[str, ...] = ()) -> DataFrame:
+    """shard_id, doc_id, field, term, position, sentence: one row per token; fields restricts them."""
+    rows, parts = sharded(docs, spec), []
+    keep = ("shard_id", "doc_id", "field")
+    for f in spec.planned():
+        if fields and f.name not in fields:
+            continue
+        x = rows.select("shard_id", F.col(spec.key).alias("doc_id"), F.lit(f.name).alias("field"), F.col(f.name).cast("string").alias("value"))
+        if f.kind == "text":
+            name = spec.analyzer_of(f)
+            x = analysis.sentence_rows(x, "value", keep, name).select(*keep, "sentence", F.explode(F.transform("tokens", lambda t: t)).alias("t"))
+            x = analysis.stemmed(x.select(*keep, F.col("t.term").alias("term"), F.col("t.position").alias("position"), "sentence"), "term", name)
+        else:
+            literal = F.lower("value") if spec.lower_keywords and f.kind == "keyword" else F.col("value")
+            x = x.where("value is not null").select(*keep, literal.alias("term"), F.lit(0).alias("position"), F.lit(0).alias("sentence"))
+        parts.append(x)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def postings_of(toks: DataFrame) -> DataFrame:
+def _grouped(x: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, words, term, positions: a row's tokens by term; words is the number of distinct ones.
+
+    Every derived column is read more than once by the next step, so the optimizer keeps the steps.
+    """
+    x = x.select(*keep, F.sort_array("tokens").alias("s"))
+    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
+    x = x.select(*keep, "s", F.filter(places, lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])).alias("starts"))
+    run = lambda a, k: F.slice("s", a + 1, F.coalesce(F.get("starts", k + 1), F.size("s")) - a)["position"]
+    # exploded as an expression: of a column the optimizer would infer, and push down, a filter on its size
+    found = F.transform("starts", lambda a, k: F.struct(F.get("s", a)["term"].alias("term"), run(a, k).alias("positions"), F.size("starts").alias("words")))
+    return x.select(*keep, F.explode(found).alias("t")).select(*keep, F.col("t.words").alias("words"), F.col("t.term").alias("term"), F.col("t.positions").alias("positions"))
+
+
+def postings_of(docs: DataFrame, spec: Spec) -> DataFrame:
     """One row per (shard, field, term, doc)."""
-    agg = toks.groupBy("shard_id", "field", "term", "doc_id").agg(
-        F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"), F.array_sort(F.collect_list("position")).alias("positions")
-    )
-    return agg.select("shard_id", "field", "term", "doc_id", "tf", "doc_len", "positions")
+    rows, parts = sharded(docs, spec), []
+    by: dict[str, list[Field]] = {}
+    for f in spec.planned():
+        by.setdefault(spec.analyzer_of(f) if f.kind == "text" else "simple", []).append(f)
+    keep = ["shard_id", "doc_id", "field"]
+    for name, fields in by.items():
+        x = rows.withColumn("doc_id", F.col(spec.key))
+        if len(fields) == 1:
+            x = x.select("shard_id", "doc_id", F.lit(fields[0].name).alias("field"), field_tokens(fields[0], spec).alias("tokens"))
+        else:
+            every = F.array(*(F.struct(F.lit(f.name).alias("field"), field_tokens(f, spec).alias("tokens")) for f in fields))
+            x = x.select("shard_id", "doc_id", F.explode(every).alias("f")).select("shard_id", "doc_id", "f.field", "f.tokens")
+        x = _grouped(x, keep)
+        if name != "simple":  # words of one stem are one term
+            x = analysis.stemmed(x, "term", name).repartition("shard_id", "doc_id")
+            x = x.groupBy(*keep, "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+            x = x.withColumn("words", F.count("*").over(Window.partitionBy(*keep)).cast("int"))  # a document's own terms
+        parts.append(x.select("shard_id", "field", "term", "doc_id", F.size("positions").alias("tf"), F.col("words").alias("doc_len"), "positions"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def lengths(docs: DataFrame, spec: Spec) -> DataFrame:
-    """shard_id, field, doc_id, doc_len of documents with terms, without exploding tokens."""
-    rows = _sharded(docs, spec)
-    plain = [f for f in spec.fields if f.indexed and f.kind in ("text", "keyword", "integer") and (f.kind != "text" or f.analyzer == "simple")]
-    fields = F.array(*(F.struct(F.lit(f.name).alias("field"), F.size(F.array_distinct(field_words(f, spec))).alias("doc_len")) for f in plain))
-    x = rows.select("shard_id", F.col(spec.key).alias("doc_id"), F.explode(fields).alias("f"))
+    """shard_id, field, doc_id, doc_len of documents with terms; fields of plain analysis need no postings."""
+    plain = [f for f in spec.planned() if f.kind != "text" or spec.analyzer_of(f) == "simple"]
+    if len(plain) < len(spec.planned()):
+        return postings_of(docs, spec).groupBy("shard_id", "field", "doc_id").agg(F.first("doc_len").alias("doc_len"))
+    words = lambda f: F.size(F.array_distinct(field_tokens(f, spec)["term"]))
+    fields = F.array(*(F.struct(F.lit(f.name).alias("field"), words(f).alias("doc_len")) for f in plain))
+    x = sharded(docs, spec).select("shard_id", F.col(spec.key).alias("doc_id"), F.explode(fields).alias("f"))
     return x.select("shard_id", "f.field", "doc_id", "f.doc_len").where("doc_len > 0")
 
 
@@ -120,31 +167,40 @@ class Index:
         return self.postings.sparkSession
 
     @staticmethod
-    def build(docs: DataFrame, spec: Spec, cache: bool = False) -> Index:
-        posts = postings_of(tokens(docs, spec))
-        if cache:
-            posts = posts.cache()
-        simple = all(f.analyzer == "simple" for f in spec.fields if f.kind == "text" and f.indexed)
-        lens = lengths(docs, spec) if simple else posts.groupBy("shard_id", "field", "doc_id").agg(F.first("doc_len").alias("doc_len"))
+    def build(docs: DataFrame, spec: Spec) -> Index:
+        """All parts as plans over docs; write() and read() make them tables."""
+        posts = postings_of(docs, spec)
+        lens = lengths(docs, spec)
         field_stats = lens.groupBy("shard_id", "field").agg(F.sum("doc_len").alias("total_len"), F.count("*").alias("doc_count"))
-        shard_stats = lens.select("shard_id", "doc_id").distinct().groupBy("shard_id").agg(F.count("*").alias("total_docs")) if len(spec.fields) > 1 else field_stats.select("shard_id", F.col("doc_count").alias("total_docs"))
+        shard_stats = lens.groupBy("shard_id", "doc_id").agg(F.lit(1).alias("one")).groupBy("shard_id").agg(F.count("*").alias("total_docs")) if len(spec.planned()) > 1 else field_stats.select("shard_id", F.col("doc_count").alias("total_docs"))
         stats = posts.groupBy("shard_id", "field", "term").agg(F.count("*").alias("df"))
-        if cache:
-            field_stats, shard_stats = field_stats.cache(), shard_stats.cache()
-        return Index(spec, posts, stats, field_stats, shard_stats, _sharded(docs, spec))
-
-    def write(self, path: str) -> None:
-        """Parquet by shard, sorted by field and term within files, so term lookups prune row groups."""
-        self.postings.repartition("shard_id", "field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/postings")
-        self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
-        self.shard_stats.write.mode("overwrite").parquet(f"{path}/shard_stats")
+        return Index(spec, posts, stats, field_stats, shard_stats, sharded(docs, spec))
+
+    def write(self, path: str) -> Index:
+        """Parquet by shard, sorted by field and term within files; the index read back.
+
+        Texts are analysed once: statistics come from the written postings. Rebalancing splits what
+        a very common term has and joins what rare ones have.
+        """
+        spark, place = self.spark, lambda d: d.hint("rebalance", "shard_id", "field", "term").sortWithinPartitions("shard_id", "field", "term", "doc_id")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        place(self.postings).write.mode("overwrite").option("parquet.block.size", 16 << 20).partitionBy("shard_id").parquet(f"{path}/postings")
+        posts = spark.read.schema(self.postings.schema).parquet(f"{path}/postings")
+        posts.groupBy("shard_id", "field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats")
+        lens = posts.groupBy("shard_id", "field", "doc_id").agg(F.first("doc_len").alias("doc_len"))
+        lens.write.mode("overwrite").parquet(f"{path}/lengths")
+        lens = spark.read.parquet(f"{path}/lengths")
+        lens.groupBy("shard_id", "field").agg(F.sum("doc_len").alias("total_len"), F.count("*").alias("doc_count")).write.mode("overwrite").parquet(f"{path}/field_stats")
+        one = lens.groupBy("shard_id", "doc_id").agg(F.lit(1).alias("one"))  # several fields of a document count once
+        one.groupBy("shard_id").agg(F.count("*").alias("total_docs")).write.mode("overwrite").parquet(f"{path}/shard_stats")
+        return Index.read(spark, path, self.spec)
 
     @staticmethod
     def read(spark: SparkSession, path: str, spec: Spec) -> Index:
         get = lambda n: spark.read.parquet(f"{path}/{n}")
-        return Index(spec, get("postings").withColumn("shard_id", F.col("shard_id").cast("string")), get("term_stats"), get("field_stats"), get("shard_stats"), get("docs"))
+        docs = get("docs")
+        posts = spark.read.schema(f"field string, term string, doc_id {docs.schema[spec.key].dataType.simpleString()}, tf int, doc_len int, positions array<int>, shard_id string").parquet(f"{path}/postings")
+        return Index(spec, posts, get("term_stats"), get("field_stats"), get("shard_stats"), docs)
 
     def shards(self) -> DataFrame:
         return self.shard_stats
@@ -153,6 +209,11 @@ class Index:
         """doc_id, tf, doc_len of a term; positions are not read."""
         return self.postings.where((F.col("field") == field_name) & (F.col("term") == term)).select("shard_id", "doc_id", "tf", "doc_len")
 
+    def by_term_id(self, term_id: str) -> DataFrame:
+        """The postings of a term id (field, a zero character, term)."""
+        name, _, term = term_id.partition("\0")
+        return self.search_hits(name, term)
+
     def positions(self, field_name: str, term: str, doc_ids: DataFrame) -> DataFrame:
         """Positions of a term in given documents; empty where it is missing."""
         hit = self.postings.where((F.col("field") == field_name) & (F.col("term") == term)).select("doc_id", "positions")

@@ -76,8 +76,9 @@ def estimated_count(weight: Column, df_a: Column, df_b: Column, n: Column) -> Co
     return F.greatest(F.round(p * n).cast("long"), F.lit(1).cast("long"))
 
 
-def edge_features(edges: DataFrame, term_stats: DataFrame, total_docs: int, estimate: bool = False) -> DataFrame:
-    """The 14 columns of the edge export, one direction (src <= dst); the real count unless estimate."""
+def edge_features(edges: DataFrame, term_stats: DataFrame, total_docs: int, estimate: bool = False, field: str = "") -> DataFrame:
+    """The 14 columns of the edge export, one direction (src <= dst); the real count unless estimate; DFs of the field, or of all."""
+    term_stats = term_stats.where(F.col("field") == field) if field else term_stats
     df = term_stats.groupBy("term").agg(F.sum("df").alias("df"))
     rows = edges.where("src <= dst").join(df.select(F.col("term").alias("src"), F.col("df").alias("df_a")), "src").join(df.select(F.col("term").alias("dst"), F.col("df").alias("df_b")), "dst")
     n = F.lit(float(total_docs))

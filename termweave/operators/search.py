@@ -7,21 +7,34 @@ one row per query term and shard.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import analysis, scoring
 from ..functions.scalars import auto_distance
-from ..plans.request import Clause, Pipeline, Request, ValidationError, parse
+from ..plans.request import Clause, Pipeline, Request, ValidationError, parse, query_type, scoring_field
+from ..sources.workspace import materialize
 from . import graph, terms
 from .index import Index
 
 ORDERING_TOP = 50
 ACTIVE_SCALE = 5
-_BEST = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id")
+
+
+def _by_score() -> list[Column]:
+    """Order of hits: sums of the same parts in another order are the same score."""
+    return [F.desc(F.round("score", 12)), F.asc("doc_id")]
+
+
+def _best(*by: str) -> WindowSpec:  # noqa: N802
+    return Window.partitionBy(*by).orderBy(*_by_score())
+
+
 
 
 def _statistics(index: Index, name: str) -> DataFrame:
@@ -78,7 +91,7 @@ def match(index: Index, c: Clause, p: Pipeline, ordered: bool = True) -> DataFra
     docs = docs.select("shard_id", "doc_id", (F.col("score") * scoring.coordination(F.col("matched"), len(words), p.coord_weight)).alias("score"))
     if not ordered or len(words) < 2 or not p.ordering_factor:
         return docs
-    top = docs.withColumn("rank", F.row_number().over(_BEST("shard_id"))).where(F.col("rank") <= ORDERING_TOP)
+    top = docs.withColumn("rank", F.row_number().over(_best("shard_id"))).where(F.col("rank") <= ORDERING_TOP)
     places = index.postings.where((F.col("field") == c.field) & F.col("term").isin(sorted(set(words)))).select("shard_id", "doc_id", "term", F.get("positions", F.lit(0)).alias("first"))
     toks = F.broadcast(index.spark.createDataFrame([(i, w) for i, w in enumerate(words)], "idx int, term string"))
     firsts = places.join(top.select("shard_id", "doc_id"), ["shard_id", "doc_id"], "left_semi").join(toks, "term")
@@ -148,17 +161,30 @@ def hybrid(index: Index, c: Clause, p: Pipeline) -> DataFrame:
 
 
 def _as_or(c: Clause) -> Clause:
-    from dataclasses import replace
-
     return replace(c, operator="or")
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows (shard_id, doc_id, score) with rank within the shard, by score, then doc_id.
+
+    Hits are dealt by ranges of the order itself and written, so that the hits of one large shard
+    are many tasks; a rank is the place within the range plus the sizes of the ranges before.
+    """
+    order = [F.asc("shard_id"), *_by_score()]
+    placed = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("shard_id", "part").agg(F.count("*").alias("size"))  # at most ranges x shards rows
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("shard_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("shard_id", "part").orderBy(*_by_score()))
+    out = placed.withColumn("own", own).join(sizes.select("shard_id", "part", before.alias("before")), ["shard_id", "part"])
+    return out.withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "part")
+
+
 def fuse(first: DataFrame, second: DataFrame, blend: float) -> DataFrame:
     """Reciprocal rank fusion per shard; where the second list is empty the first keeps its scores."""
     keys = ["shard_id", "doc_id"]
-    a = first.select(*keys, F.col("score").alias("own"), F.row_number().over(_BEST("shard_id")).alias("ra"))
-    b = second.select(*keys, F.row_number().over(_BEST("shard_id")).alias("rb"))
-    some = second.select("shard_id").distinct().withColumn("some", F.lit(True))
+    a = ranked(first.select(*keys, "score")).select(*keys, F.col("score").alias("own"), F.col("rank").alias("ra"))
+    b = ranked(second.select(*keys, "score")).select(*keys, F.col("rank").alias("rb"))
+    some = b.groupBy("shard_id").agg(F.lit(True).alias("some"))
     both = a.join(b, keys, "full").join(some, "shard_id", "left")
     return both.select(*keys, F.when(F.col("some"), scoring.rrf(F.col("ra")) + scoring.rrf(F.col("rb"), blend)).otherwise(F.col("own")).alias("score"))
 
@@ -180,8 +206,8 @@ def _concepts(index: Index, c: Clause, words: list[str], p: Pipeline) -> DataFra
     )
     live = rows.groupBy("shard_id").agg(F.countDistinct("idx").alias("live"))
     docs = docs.join(live, "shard_id").withColumn("all", F.col("groups") == F.col("live"))
-    any_all = F.max("all").over(Window.partitionBy("shard_id"))
-    docs = docs.withColumn("any_all", any_all).where(F.col("all") | ~F.col("any_all"))
+    any_all = docs.groupBy("shard_id").agg(F.max("all").alias("any_all"))  # one row per shard
+    docs = docs.join(any_all, "shard_id").where(F.col("all") | ~F.col("any_all"))
     return docs.select("shard_id", "doc_id", (F.col("score") * scoring.coordination(F.col("matched"), len(words), p.coord_weight)).alias("score"))
 
 
@@ -197,8 +223,8 @@ def compile_clause(index: Index, c: Clause, p: Pipeline) -> DataFrame:
     }[c.kind]()
 
 
-def hits(index: Index, request: Request | Mapping[str, Any], pipeline: Pipeline | None = None, check_shards: bool = False) -> DataFrame:
-    """All hits of a request before the limit; their count is the total."""
+def hits(index: Index, request: Request | Mapping[str, Any], pipeline: Pipeline | None = None, check_shards: bool = True) -> DataFrame:
+    """All hits of a request before the limit; shards that the index lacks are an error."""
     r = request if isinstance(request, Request) else parse(request)
     p = (pipeline or Pipeline()).merged(r.pipeline)
     if r.shard_ids:
@@ -220,9 +246,46 @@ def search(index: Index, request: Request | Mapping[str, Any], pipeline: Pipelin
     if r.cursor:
         s, d = r.cursor
         out = out.where((F.col("score") < s) | ((F.col("score") == s) & (F.col("doc_id") > F.lit(d).cast(out.schema["doc_id"].dataType))))
-    return out.orderBy(F.desc("score"), "doc_id").limit(r.limit)
+    return out.orderBy(*_by_score()).limit(r.limit)
+
+
+def totals(index: Index, request: Request | Mapping[str, Any], pipeline: Pipeline | None = None) -> DataFrame:
+    """shard_id, total: the number of hits of each shard before the limit."""
+    return hits(index, request, pipeline).groupBy("shard_id").agg(F.count("*").alias("total"))
+
+
+def metadata(index: Index, request: Request | Mapping[str, Any], pipeline: Pipeline | None = None) -> dict[str, Any]:
+    """What a response tells beside its hits: query type, total, scoring field and expansion terms with energies."""
+    r = request if isinstance(request, Request) else parse(request)
+    p = (pipeline or Pipeline()).merged(r.pipeline)
+    out: dict[str, Any] = {"query_type": query_type(r.query), "field": scoring_field(r.query), "total": totals(index, r, pipeline).agg(F.sum("total")).first()[0] or 0}
+    if r.query.kind == "hybrid":
+        words = _query_terms(index, r.query)
+        found = expansions(index, words, r.query.field, p.merged({"max_hops": r.query.hops})) if words else None
+        out["expansions"] = [(x.term, x.energy) for x in found.collect()] if found is not None else []  # max_expansions rows
+    return out
+
+
+def stream(index: Index, request: Request | Mapping[str, Any], pipeline: Pipeline | None = None) -> Iterator[Row]:
+    """The hits of search(), one at a time in order; the caller may stop early."""
+    yield from search(index, request, pipeline).toLocalIterator()
+
+
+def shard_streams(index: Index, request: Request | Mapping[str, Any], pipeline: Pipeline | None = None) -> Iterator[tuple[str, list[Row]]]:
+    """(shard, its best hits) for every shard with hits, each list within the request's limit."""
+    r = request if isinstance(request, Request) else parse(request)
+    rows = hits(index, r, pipeline)
+    best = rows.withColumn("rank", F.row_number().over(_best("shard_id"))).where(F.col("rank") <= r.limit).orderBy("shard_id", "rank")
+    held: list[Row] = []
+    for x in best.toLocalIterator():
+        if held and held[0].shard_id != x.shard_id:
+            yield held[0].shard_id, held
+            held = []
+        held.append(x)
+    if held:
+        yield held[0].shard_id, held
 
 
 def merge_top(shard_hits: DataFrame, limit: int) -> DataFrame:
     """Global top-k of per-shard hits."""
-    return shard_hits.orderBy(F.desc("score"), "doc_id").limit(limit)
+    return shard_hits.orderBy(*_by_score()).limit(limit)

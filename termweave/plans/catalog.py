@@ -39,8 +39,7 @@ class Definition:
     default_analyzer: str = "standard"
 
     def spec(self, key: str = "doc_id") -> Spec:
-        fields = tuple(replace(f, analyzer=f.analyzer or self.default_analyzer) for f in self.mapping.fields)
-        return Spec(fields, key, self.sharding)
+        return Spec(self.mapping.fields, key, self.sharding, default_analyzer=self.default_analyzer)
 
 
 class Catalog:

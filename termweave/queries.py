@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import analysis, scalars, scoring
+from .functions import analysis, porter2, scalars, scoring
 from .operators import cooc, embeddings, graph, hydrate, index, ingest, ml, search, sharding, terms
 from .operators.index import Field, Index, Spec
 from .operators.sharding import Sharding
 from .plans.request import Pipeline
+from .sources import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,14 +38,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_index(spark: SparkSession, sf_dir: str, shard: str = "") -> Index:
-    spec = Spec((Field("text"),), shard_column=shard)
-    return Index.build(table(spark, sf_dir, "documents"), spec)
+SIMPLE, STANDARD = Field("text", analyzer="simple"), Field("text", analyzer="standard")
+_stored: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, key: tuple, make: Callable[[], object]):
+    """What make() gives, once per session: tables that a service would keep."""
+    key = (spark.sparkContext.applicationId, workspace.shared_dir(spark), *key)
+    if key not in _stored:
+        _stored[key] = make()
+    return _stored[key]
+
+
+def text_index(spark: SparkSession, sf_dir: str, shard: str = "", field: Field = SIMPLE) -> Index:
+    """The index of the documents as a plan."""
+    return Index.build(table(spark, sf_dir, "documents"), Spec((field,), shard_column=shard))
+
+
+def stored_index(spark: SparkSession, sf_dir: str, shard: str = "", field: Field = SIMPLE) -> Index:
+    """The index of the documents as tables, written by the first query that needs it."""
+    return _once(spark, (sf_dir, "index", shard, field), lambda: text_index(spark, sf_dir, shard, field).write(workspace.new_path(spark, "index")))
 
 
 def part_index(spark: SparkSession, sf_dir: str) -> Index:
-    fields = (Field("p_name"), Field("p_brand", "keyword"), Field("p_size", "integer"))
-    return Index.build(table(spark, sf_dir, "part"), Spec(fields, key="p_partkey", lower_keywords=True))
+    fields = (Field("p_name", analyzer="simple"), Field("p_brand", "keyword"), Field("p_size", "integer"))
+    spec = Spec(fields, key="p_partkey", lower_keywords=True)
+    return _once(spark, (sf_dir, "parts"), lambda: Index.build(table(spark, sf_dir, "part"), spec).write(workspace.new_path(spark, "parts")))
 
 
 def _ask(body: dict, limit: int = 20, **more) -> dict:
@@ -66,14 +84,49 @@ def _base(shard: str = "'default'") -> str:
     st AS MATERIALIZED (SELECT shard_id, count(*) AS n, sum(doc_len) / count(*) AS avg_len FROM dl GROUP BY shard_id)"""
 
 
+def _sentences(source: str = "documents", key: str = "doc_id", extra: tuple[str, ...] = ()) -> str:
+    """CTEs sn(id, sentence, x): the sentences of texts; joining signs inside words and numbers are marked first."""
+    x = "lower(text)"
+    marks = [(r"([\p{L}\p{M}])\.(\p{L})", 57344), (r"(\p{Nd})[.;](\p{Nd})", 57344), *((e, 57345) for e in extra)]
+    for pattern, mark in marks:
+        for _ in range(2):  # neighbours overlap
+            x = rf"regexp_replace({x}, '{pattern}', '\1' || chr({mark}) || '\2', 'g')"
+    return rf"""
+    WITH raw AS MATERIALIZED (SELECT {key} AS id, string_split_regex({x}, '[.!?;¿¡]') AS xs FROM {source}),
+    parts AS (SELECT id, unnest(xs) AS x, unnest(range(len(xs))) AS part FROM raw),
+    sn AS MATERIALIZED (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY part) - 1 AS sentence FROM parts WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]'))"""
+
+
+#: t(id, sentence, term, pos) of the simple analysis
+_SIMPLE_T = (
+    _sentences()
+    + r""",
+    sw AS (SELECT id, sentence, regexp_extract_all(x, '[\p{L}\p{Nd}]+') AS w FROM sn),
+    t AS MATERIALIZED (SELECT id, sentence, unnest(w) AS term, unnest(range(len(w))) AS pos FROM sw)"""
+)
+_STOPS = ", ".join(f"'{w}'" for w in sorted(analysis.STOP["english"]))
+#: t(id, sentence, term, position, pos) of the standard analysis; pos is the place among the sentence's terms
+_STANDARD_T = (
+    _sentences(extra=(r"([\p{L}\p{M}])[''’:·](\p{L})", r"(\p{Nd})[,''’](\p{Nd})"))
+    + rf""",
+    sw AS (SELECT id, sentence, list_filter(regexp_extract_all(x, '[\p{{L}}\p{{M}}\p{{N}}_' || chr(57344) || chr(57345) || ']+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]')) AS w FROM sn),
+    tw AS (SELECT id, sentence, unnest(w) AS whole, unnest(range(len(w))) AS k FROM sw),
+    tp AS (SELECT id, sentence, row_number() OVER (PARTITION BY id ORDER BY sentence, k) AS position, regexp_extract_all(whole, '[\p{{L}}\p{{Nd}}]+') AS p FROM tw),
+    ts AS (SELECT id, sentence, position, unnest(p) AS part, unnest(range(len(p))) AS j FROM tp),
+    kept AS MATERIALIZED (SELECT * FROM ts WHERE strlen(part) >= 2 AND part NOT IN ({_STOPS})),
+    {porter2.stem_sql('kept', 'part')},
+    t AS MATERIALIZED (SELECT id, sentence, stem AS term, position, row_number() OVER (PARTITION BY id, sentence ORDER BY position, j) AS pos FROM kept JOIN stems ON part = word)"""
+)
+
+
 _BM25 = "ln(1 + (st.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / st.avg_len))"
 
 
-def _match(words: list[str], shard: str = "'default'", where: str = "", boost: float = 1.0) -> str:
+def _match(words: list[str], shard: str = "'default'", where: str = "", boost: float = 1.0, base: str = "") -> str:
     """CTEs up to m(shard_id, doc_id, score, matched) of a match clause."""
     toks = ", ".join(f"({i}, '{w}')" for i, w in enumerate(words))
     return (
-        _base(shard)
+        (base or _base(shard))
         + f""",
     q(idx, term) AS (VALUES {toks}),
     f AS MATERIALIZED (SELECT shard_id, term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q) GROUP BY ALL),
@@ -112,9 +165,6 @@ def analyze_simple(spark, sf_dir):
     return per.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in sorted(analysis.STOP["english"]))
-
-
 @query(_base() + f" SELECT doc_id, count(*) AS kept FROM t WHERE strlen(term) >= 2 AND term NOT IN ({_STOPS}) GROUP BY doc_id")
 def analyze_standard_nostem(spark, sf_dir):
     stops = sorted(analysis.STOP["english"])
@@ -128,16 +178,25 @@ def stopwords_en(spark, sf_dir):
     return rows.where(F.col("term").isin(sorted(analysis.STOP["english"]))).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_base() + ", " + porter2.stem_sql("t", "term") + " SELECT word AS term, stem FROM stems")
 def stem_vocabulary(spark, sf_dir):
     return analysis.stem_vocabulary(table(spark, sf_dir, "documents").select(F.explode(analysis.simple_words(F.col("text"))).alias("term")))
 
 
-@query()
+@query(_STANDARD_T + " SELECT id AS doc_id, CAST(max(position) AS BIGINT) AS tokens, CAST(max(sentence) + 1 AS BIGINT) AS sentences FROM tp GROUP BY id")
 def sentence_ids(spark, sf_dir):
-    """Exact analysis: tokens and sentences of each document."""
-    t = analysis.exact_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), (F.max("sentence") + 1).alias("sentences"))
+    """Standard words and sentences of each document."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.size(analysis.standard_words(F.col("text"))).cast("long").alias("tokens"))
+    ends = analysis.sentence_rows(docs, "text", ("doc_id",), "standard").groupBy("doc_id").agg((F.max("sentence") + 1).cast("long").alias("sentences"))
+    return words.join(ends, "doc_id")
+
+
+@query(_STANDARD_T + ", p AS MATERIALIZED (SELECT id, term, count(*) AS tf, min(position) AS first FROM t GROUP BY ALL) SELECT 'text' AS field, term, id AS doc_id, tf, count(*) OVER (PARTITION BY id) AS doc_len, first FROM p")
+def standard_postings(spark, sf_dir):
+    """The reference's default analysis: stop words out, words stemmed, parts of split words at one position."""
+    p = text_index(spark, sf_dir, field=STANDARD).postings
+    return p.select("field", "term", "doc_id", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len"), F.get("positions", F.lit(0)).cast("long").alias("first"))
 
 
 # --- index ---------------------------------------------------------------------------------------
@@ -151,7 +210,7 @@ def build_postings(spark, sf_dir):
 
 @query(_base() + " SELECT doc_id, list_sort(list(pos)) AS positions FROM t WHERE term = 'thing' GROUP BY doc_id")
 def positions_lookup(spark, sf_dir):
-    i = text_index(spark, sf_dir)
+    i = stored_index(spark, sf_dir)
     hit = i.search_hits("text", "thing").select("doc_id")
     return i.positions("text", "thing", hit).select("doc_id", F.col("positions").cast("array<long>").alias("positions"))
 
@@ -173,7 +232,7 @@ def shard_stats(spark, sf_dir):
 
 @query(_base() + " SELECT term, count(*) AS df, round(ln(1 + (any_value(st.n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM post JOIN st ON true GROUP BY term")
 def idf_table(spark, sf_dir):
-    i = text_index(spark, sf_dir)
+    i = stored_index(spark, sf_dir)
     rows = i.term_stats.join(i.shard_stats, "shard_id")
     return _six(rows.select("term", "df", scoring.idf(F.col("total_docs"), F.col("df")).alias("idf")), "idf")
 
@@ -183,27 +242,51 @@ def idf_table(spark, sf_dir):
 
 @query(_match(["thing"]) + " SELECT shard_id, doc_id, round(score, 6) AS score FROM m")
 def bm25_term(spark, sf_dir):
-    return _six(search.hits(text_index(spark, sf_dir), _ask({"term": {"field": "text", "value": "THING"}})))
+    return _six(search.hits(stored_index(spark, sf_dir), _ask({"term": {"field": "text", "value": "THING"}})))
 
 
 @query(_match(WORDS) + _TOP)
 def match_or(spark, sf_dir):
-    return _six(search.search(text_index(spark, sf_dir), _ask({"match": {"field": "text", "value": TEXT}}), Pipeline(ordering_factor=0.0)))
+    return _six(search.search(stored_index(spark, sf_dir), _ask({"match": {"field": "text", "value": TEXT}}), Pipeline(ordering_factor=0.0)))
 
 
 @query(_match(["the", "of", "thing"], where="WHERE live <= 1 OR matched >= live") + _TOP)
 def match_and(spark, sf_dir):
-    return _six(search.search(text_index(spark, sf_dir), _ask({"match": {"field": "text", "value": "the of thing", "operator": "and"}}), Pipeline(ordering_factor=0.0)))
+    return _six(search.search(stored_index(spark, sf_dir), _ask({"match": {"field": "text", "value": "the of thing", "operator": "and"}}), Pipeline(ordering_factor=0.0)))
+
+
+_STANDARD_POST = (
+    _STANDARD_T
+    + """, pl AS MATERIALIZED (SELECT 'default' AS shard_id, id AS doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    post AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY doc_id) AS doc_len FROM pl),
+    st AS MATERIALIZED (SELECT shard_id, count(DISTINCT doc_id) AS n, count(*) / count(DISTINCT doc_id) AS avg_len FROM post GROUP BY shard_id)"""
+)
+
+
+@query(_match(["thing", "licens", "thing"], base=_STANDARD_POST) + _TOP)
+def standard_match(spark, sf_dir):
+    """The query is analysed as the field is: stop words go, words are stemmed, duplicates count."""
+    return _six(search.search(stored_index(spark, sf_dir, field=STANDARD), _ask({"match": {"field": "text", "value": "The THINGS of licenses, things!"}}), Pipeline(ordering_factor=0.0)))
+
+
+@query(_match(WORDS, "lang") + " SELECT shard_id, count(*) AS total FROM m GROUP BY shard_id")
+def hit_totals(spark, sf_dir):
+    return search.totals(stored_index(spark, sf_dir, "lang"), _ask({"match": {"field": "text", "value": TEXT}}))
+
+
+@query(_base() + " SELECT doc_id, tf, CAST(doc_len AS BIGINT) AS doc_len FROM post WHERE term = 'license'")
+def scan_by_term_id(spark, sf_dir):
+    return stored_index(spark, sf_dir).by_term_id("text\0license").select("doc_id", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len"))
 
 
 @query(_match(WORDS, boost=3.0) + _TOP)
 def match_boosted(spark, sf_dir):
-    return _six(search.search(text_index(spark, sf_dir), _ask({"match": {"field": "text^1.5", "value": TEXT, "boost": 2.0}}), Pipeline(ordering_factor=0.0)))
+    return _six(search.search(stored_index(spark, sf_dir), _ask({"match": {"field": "text^1.5", "value": TEXT, "boost": 2.0}}), Pipeline(ordering_factor=0.0)))
 
 
 @query(_match(WORDS) + _ORDER + _TOP_O)
 def match_ordering_boost(spark, sf_dir):
-    return _six(search.search(text_index(spark, sf_dir), _ask({"match": {"field": "text", "value": TEXT}})))
+    return _six(search.search(stored_index(spark, sf_dir), _ask({"match": {"field": "text", "value": TEXT}})))
 
 
 _PREFIX = (
@@ -215,7 +298,7 @@ _PREFIX = (
 
 @query(_PREFIX + _TOP)
 def prefix_query(spark, sf_dir):
-    return _six(search.search(text_index(spark, sf_dir), _ask({"prefix": {"field": "text", "value": "Licen"}})))
+    return _six(search.search(stored_index(spark, sf_dir), _ask({"prefix": {"field": "text", "value": "Licen"}})))
 
 
 def _terms(names: dict[str, str]) -> str:
@@ -235,41 +318,41 @@ def _terms(names: dict[str, str]) -> str:
 )
 def bool_query(spark, sf_dir):
     one = lambda v: {"term": {"field": "text", "value": v}}
-    return _six(search.search(text_index(spark, sf_dir), _ask({"bool": {"must": [one("the"), one("of")], "should": [one("thing")], "must_not": [one("license")]}})))
+    return _six(search.search(stored_index(spark, sf_dir), _ask({"bool": {"must": [one("the"), one("of")], "should": [one("thing")], "must_not": [one("license")]}})))
 
 
 @query(_match(WORDS, where="WHERE s.doc_id IN (SELECT doc_id FROM post WHERE term = 'license')") + _TOP)
 def filter_term(spark, sf_dir):
     body = _ask({"match": {"field": "text", "value": TEXT}}, filters=[{"term": {"field": "text", "value": "license"}}])
-    return _six(search.search(text_index(spark, sf_dir), body, Pipeline(ordering_factor=0.0)))
+    return _six(search.search(stored_index(spark, sf_dir), body, Pipeline(ordering_factor=0.0)))
 
 
 @query(_match(WORDS, where="WHERE s.doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 500 AND n_chars < 2000)") + _TOP)
 def filter_range(spark, sf_dir):
     body = _ask({"match": {"field": "text", "value": TEXT}}, filters=[{"range": {"field": "n_chars", "gte": 500, "lt": 2000}}])
-    return _six(search.search(text_index(spark, sf_dir), body, Pipeline(ordering_factor=0.0)))
+    return _six(search.search(stored_index(spark, sf_dir), body, Pipeline(ordering_factor=0.0)))
 
 
 @query("SELECT 'default' AS shard_id, doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE n_chars > 1000 AND n_chars <= 3000")
 def range_query(spark, sf_dir):
-    return search.hits(text_index(spark, sf_dir), _ask({"range": {"field": "n_chars", "gt": 1000, "lte": 3000}}))
+    return search.hits(stored_index(spark, sf_dir), _ask({"range": {"field": "n_chars", "gt": 1000, "lte": 3000}}))
 
 
 @query(_match(WORDS, "lang") + _TOP)
 def multi_shard_match(spark, sf_dir):
-    return _six(search.search(text_index(spark, sf_dir, "lang"), _ask({"match": {"field": "text", "value": TEXT}}), Pipeline(ordering_factor=0.0)))
+    return _six(search.search(stored_index(spark, sf_dir, "lang"), _ask({"match": {"field": "text", "value": TEXT}}), Pipeline(ordering_factor=0.0)))
 
 
 @query(_match(WORDS, "source") + ", k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY score DESC, doc_id) AS rk FROM m) SELECT shard_id, doc_id, round(score, 6) AS score FROM k WHERE rk <= 3 ORDER BY k.score DESC, doc_id LIMIT 20")
 def topk_merge(spark, sf_dir):
-    rows = search.hits(text_index(spark, sf_dir, "source"), _ask({"match": {"field": "text", "value": TEXT}}), Pipeline(ordering_factor=0.0))
+    rows = search.hits(stored_index(spark, sf_dir, "source"), _ask({"match": {"field": "text", "value": TEXT}}), Pipeline(ordering_factor=0.0))
     top = rows.withColumn("rk", F.row_number().over(Window.partitionBy("shard_id").orderBy(F.desc("score"), "doc_id"))).where("rk <= 3").drop("rk")
     return _six(search.merge_top(top, 20))
 
 
 @query("SELECT 'default' AS shard_id, doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE n_chars >= 100 AND doc_id > 50 ORDER BY doc_id LIMIT 20")
 def cursor_page(spark, sf_dir):
-    return search.search(text_index(spark, sf_dir), _ask({"range": {"field": "n_chars", "gte": 100}}, cursor=[0.0, "50"]))
+    return search.search(stored_index(spark, sf_dir), _ask({"range": {"field": "n_chars", "gte": 100}}, cursor=[0.0, "50"]))
 
 
 @query("SELECT p_partkey AS doc_id, round(ln(1 + ((SELECT count(*) FROM part) - (SELECT count(*) FROM part WHERE p_brand = 'Brand#1') + 0.5) / ((SELECT count(*) FROM part WHERE p_brand = 'Brand#1') + 0.5)), 6) AS score FROM part WHERE p_brand = 'Brand#1'")
@@ -287,92 +370,109 @@ def integer_term(spark, sf_dir):
 
 @query(_base() + " SELECT 'text' AS field, term, count(*) AS df FROM post GROUP BY term ORDER BY term LIMIT 100 OFFSET 50")
 def terms_list(spark, sf_dir):
-    return terms.listed(text_index(spark, sf_dir).term_stats, "text", 50, 100)
+    return terms.listed(stored_index(spark, sf_dir).term_stats, "text", 50, 100)
 
 
 @query(_base() + " SELECT 'text' AS field, term, count(*) AS df FROM post WHERE starts_with(term, 'thi') GROUP BY term")
 def terms_prefix(spark, sf_dir):
-    return terms.by_prefix(text_index(spark, sf_dir).term_stats, "text", "thi")
+    return terms.by_prefix(stored_index(spark, sf_dir).term_stats, "text", "thi")
 
 
 @query(_base() + " SELECT 'text' AS field, term, count(*) AS df FROM post WHERE regexp_matches(term, 'tion(s|ed)?$') GROUP BY term")
 def terms_regex(spark, sf_dir):
-    return terms.by_regex(text_index(spark, sf_dir).term_stats, "text", "tion(s|ed)?$")
+    return terms.by_regex(stored_index(spark, sf_dir).term_stats, "text", "tion(s|ed)?$")
 
 
 @query(_base("lang") + ", s AS MATERIALIZED (SELECT shard_id, term, count(*) AS df FROM post GROUP BY ALL) SELECT 'text' AS field, term, CAST(sum(df) AS BIGINT) AS df FROM s GROUP BY term")
 def terms_merge_df(spark, sf_dir):
-    return terms.merged(text_index(spark, sf_dir, "lang").term_stats)
+    return terms.merged(stored_index(spark, sf_dir, "lang").term_stats)
 
 
 @query(
     _base() + " SELECT 'text' AS field, term, count(*) AS df FROM post WHERE (starts_with(term, 'lice') OR starts_with(term, 'lic') OR starts_with(term, 'ilc') OR starts_with(term, 'ice')) AND damerau_levenshtein(term, 'licenze') <= 1 GROUP BY term"
 )
 def terms_fuzzy(spark, sf_dir):
-    return terms.fuzzy(text_index(spark, sf_dir).term_stats, "text", "licenze", 1)
+    return terms.fuzzy(stored_index(spark, sf_dir).term_stats, "text", "licenze", 1)
 
 
 @query(_match(["license"]) + _TOP)
 def fuzzy_fallback_match(spark, sf_dir):
-    return _six(search.search(text_index(spark, sf_dir), _ask({"match": {"field": "text", "value": "licenxe", "fuzziness": 1}})))
+    return _six(search.search(stored_index(spark, sf_dir), _ask({"match": {"field": "text", "value": "licenxe", "fuzziness": 1}})))
 
 
 # --- co-occurrence and graphs --------------------------------------------------------------------
 
 
-def _pair_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "conversations").select(F.lit("default").alias("shard_id"), F.lit("text").alias("field"), "text")
-    return cooc.pairs(cooc.row_pairs(docs, analysis.simple_words(F.col("text")), WINDOW))
+def _pair_sums(spark: SparkSession, sf_dir: str, field: Field = SIMPLE) -> DataFrame:
+    return cooc.document_pairs(table(spark, sf_dir, "documents"), Spec((field,)), WINDOW)
+
 
+def _pairs_of(tokens: str) -> str:
+    return f"""{tokens}, pr AS MATERIALIZED (SELECT least(a.term, b.term) AS term_a, greatest(a.term, b.term) AS term_b, count(*) AS cnt, sum(1.0 / log2(1.0 + b.pos - a.pos)) AS wsum
+      FROM t a JOIN t b ON a.id = b.id AND a.sentence = b.sentence AND b.pos > a.pos AND b.pos <= a.pos + {WINDOW} AND a.term <> b.term GROUP BY ALL)"""
 
-_PAIRS = rf"""
-    WITH d AS MATERIALIZED (SELECT conv_id * 100000 + turn AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+') AS w FROM conversations),
-    t AS MATERIALIZED (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
-    pr AS MATERIALIZED (SELECT least(a.term, b.term) AS term_a, greatest(a.term, b.term) AS term_b, count(*) AS cnt, sum(1.0 / log2(1.0 + b.pos - a.pos)) AS wsum
-      FROM t a JOIN t b ON a.id = b.id AND b.pos > a.pos AND b.pos <= a.pos + {WINDOW} AND a.term <> b.term GROUP BY ALL)"""
 
+_PAIRS = _pairs_of(_SIMPLE_T)
+_PAIR_VIEW = " SELECT 'default' AS shard_id, 'text' AS field, term_a, term_b, cnt, round(wsum, 6) AS wsum FROM pr"
 
-@query(_PAIRS + " SELECT 'default' AS shard_id, 'text' AS field, term_a, term_b, cnt, round(wsum, 6) AS wsum FROM pr")
+
+@query(_PAIRS + _PAIR_VIEW)
 def cooc_pairs(spark, sf_dir):
+    """Pairs within sentences, at most WINDOW words apart."""
     return _six(_pair_sums(spark, sf_dir), "wsum")
 
 
-@query(_base() + f", x AS MATERIALIZED (SELECT a.doc_id, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + {WINDOW} AND a.term <> b.term GROUP BY a.doc_id) SELECT doc_id, n FROM x")
+@query(_pairs_of(_STANDARD_T) + _PAIR_VIEW)
+def cooc_sentences(spark, sf_dir):
+    """The same over the standard analysis: places are those among the terms that a sentence keeps."""
+    return _six(_pair_sums(spark, sf_dir, STANDARD), "wsum")
+
+
+@query(_SIMPLE_T + f", x AS MATERIALIZED (SELECT a.id, count(*) AS n FROM t a JOIN t b ON a.id = b.id AND a.sentence = b.sentence AND b.pos > a.pos AND b.pos <= a.pos + {WINDOW} AND a.term <> b.term GROUP BY a.id) SELECT id AS doc_id, n FROM x")
 def cooc_window(spark, sf_dir):
-    toks = index.tokens(table(spark, sf_dir, "documents"), Spec((Field("text"),)))
+    toks = index.tokens(table(spark, sf_dir, "documents"), Spec((SIMPLE,)))
     rows = cooc.pair_rows(toks.withColumn("at", F.col("position")), WINDOW)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(_base() + f", k AS MATERIALIZED (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM t WHERE strlen(term) >= 2 AND term NOT IN ({_STOPS})) SELECT doc_id, max(place) AS last, count(*) AS n FROM k GROUP BY doc_id")
+@query(_SIMPLE_T + f", k AS MATERIALIZED (SELECT id, term, row_number() OVER (PARTITION BY id, sentence ORDER BY pos) - 1 AS place FROM t WHERE strlen(term) >= 2 AND term NOT IN ({_STOPS})) SELECT id AS doc_id, max(place) AS last, count(*) AS n FROM k GROUP BY id")
 def cooc_compressed(spark, sf_dir):
-    toks = index.tokens(table(spark, sf_dir, "documents"), Spec((Field("text"),)))
+    toks = index.tokens(table(spark, sf_dir, "documents"), Spec((SIMPLE,)))
     kept = toks.where((F.octet_length("term") >= 2) & ~F.col("term").isin(sorted(analysis.STOP["english"])))
     return cooc.compressed(kept).groupBy("doc_id").agg(F.max("at").cast("long").alias("last"), F.count("*").alias("n"))
 
 
 def _edges(spark: SparkSession, sf_dir: str, method: str = "npmi") -> DataFrame:
-    docs = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
-    i = Index.build(docs, Spec((Field("text"),)))
-    return cooc.edges(_pair_sums(spark, sf_dir), i.term_stats, i.shard_stats, method)
+    """Edges of the documents' pairs, from the stored index's statistics; pairs and edges are stored too."""
+    i = stored_index(spark, sf_dir)
+    sums = _once(spark, (sf_dir, "pairs"), lambda: workspace.materialize(_pair_sums(spark, sf_dir), "pairs"))
+    return cooc.edges(sums, i.term_stats, i.shard_stats, method)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, (sf_dir, "edges"), lambda: workspace.materialize(_edges(spark, sf_dir).withColumn("weight", F.round("weight", 9)), "edges"))
 
 
-_DF = ", dfs AS MATERIALIZED (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term), nn AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM d WHERE len(w) > 0)"
+_DF = ", dfs AS MATERIALIZED (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term), nn AS MATERIALIZED (SELECT CAST(count(DISTINCT id) AS DOUBLE) AS n FROM t)"
 _EDGE_ROWS = ", e AS MATERIALIZED (SELECT pr.*, a.df AS da, b.df AS db, n, wsum / cnt AS m FROM pr JOIN dfs a ON a.term = term_a JOIN dfs b ON b.term = term_b, nn WHERE cnt >= 3)"
 
 
+def _edge_ctes(weight: str) -> str:
+    return _PAIRS + _DF + _EDGE_ROWS + f", g AS MATERIALIZED (SELECT term_a, term_b, cnt, da, db, n, greatest(0, least(1, {weight})) AS weight FROM e)"
+
+
 def _edge_sql(weight: str) -> str:
-    return (
-        _PAIRS + _DF + _EDGE_ROWS + f", g AS MATERIALIZED (SELECT term_a, term_b, greatest(0, least(1, {weight})) AS weight FROM e)"
-        " SELECT term_a AS src, term_b AS dst, round(weight, 6) AS weight FROM g WHERE weight > 0 UNION ALL SELECT term_b, term_a, round(weight, 6) FROM g WHERE weight > 0"
-    )
+    return _edge_ctes(weight) + " SELECT term_a AS src, term_b AS dst, round(weight, 6) AS weight FROM g WHERE weight > 0 UNION ALL SELECT term_b, term_a, round(weight, 6) FROM g WHERE weight > 0"
 
 
 def _edge_view(df: DataFrame) -> DataFrame:
     return _six(df.select("src", "dst", "weight"), "weight")
 
 
-@query(_edge_sql("CASE WHEN cnt = n THEN 0 ELSE ln((cnt / n) / ((da / n) * (db / n))) / -ln(cnt / n) * (1 + m) END"))
+_NPMI = "CASE WHEN cnt = n THEN 0 ELSE ln((cnt / n) / ((da / n) * (db / n))) / -ln(cnt / n) * (1 + m) END"
+
+
+@query(_edge_sql(_NPMI))
 def npmi_edges(spark, sf_dir):
     return _edge_view(_edges(spark, sf_dir))
 
@@ -460,19 +560,55 @@ def spread_activation(spark, sf_dir):
 
 
 def _with_graph(spark: SparkSession, sf_dir: str) -> Index:
-    i = text_index(spark, sf_dir)
-    i.edges = _edges(spark, sf_dir).cache()  # a stored table in production: every hop reads it
-    return i
+    i = stored_index(spark, sf_dir)
+    return dataclasses.replace(i, edges=_graph(spark, sf_dir))
 
 
-@query()
+def _near(energy: float) -> str:
+    """CTEs over g: eg (both directions), nr (start, node, energy) of one hop from the query's words."""
+    return f""", eg AS MATERIALIZED (SELECT term_a AS src, term_b AS dst, round(weight, 9) AS weight FROM g WHERE weight > 0 UNION ALL SELECT term_b, term_a, round(weight, 9) FROM g WHERE weight > 0),
+    rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM eg WHERE src IN (SELECT term FROM q)),
+    nr AS MATERIALIZED (SELECT src AS start, dst AS node, {energy} * weight * 0.7 AS energy FROM rk WHERE n <= 15 AND {energy} * weight * 0.7 >= 0.01)"""
+
+
+#: everything a hybrid query needs: m (lexical), g (graph), under names that do not clash
+_HYBRID = _match(WORDS) + ", " + _edge_ctes(_NPMI).strip().removeprefix("WITH ").replace("raw AS", "raw_ AS").replace("FROM raw)", "FROM raw_)").replace(" t AS MATERIALIZED", " tt AS MATERIALIZED").replace("FROM t ", "FROM tt ").replace("JOIN t ", "JOIN tt ").replace("FROM t)", "FROM tt)")
+_HYBRID_SCORE = "ln(1 + (st.n - f2.df + 0.5) / (f2.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / st.avg_len))"
+
+
+@query(
+    _HYBRID + _near(0.25)
+    + f""", ex AS MATERIALIZED (SELECT node AS term, sum(energy) AS energy FROM nr WHERE node NOT IN (SELECT term FROM q) GROUP BY node ORDER BY 2 DESC, 1 LIMIT 10),
+    f2 AS MATERIALIZED (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM ex) GROUP BY term HAVING count(*) <= 5000),
+    y AS MATERIALIZED (SELECT p.doc_id, sum({_HYBRID_SCORE} * ex.energy * 0.3) AS score FROM post p JOIN ex ON p.term = ex.term JOIN f2 ON p.term = f2.term JOIN st ON p.shard_id = st.shard_id GROUP BY p.doc_id),
+    ra AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS r FROM m),
+    rb AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS r FROM y),
+    fu AS (SELECT coalesce(ra.doc_id, rb.doc_id) AS doc_id, coalesce(1.0 / (60 + ra.r), 0) + coalesce(0.3 / (60 + rb.r), 0) AS s FROM ra FULL JOIN rb ON ra.doc_id = rb.doc_id)
+    SELECT 'default' AS shard_id, doc_id, round(s, 6) AS score FROM fu ORDER BY round(s, 12) DESC, doc_id LIMIT 20"""
+)
 def hybrid_or_rrf(spark, sf_dir):
-    return _six(search.search(_with_graph(spark, sf_dir), _ask({"hybrid": {"field": "text", "value": TEXT}})))
+    """One hop of expansion, which SQL can express; hybrid_or_deep takes three."""
+    return _six(search.search(_with_graph(spark, sf_dir), _ask({"hybrid": {"field": "text", "value": TEXT, "max_hops": 1}})))
 
 
-@query()
+@query(
+    _HYBRID + _near(1.0)
+    + f""", b5 AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY energy DESC, node) AS n FROM nr WHERE node NOT IN (SELECT term FROM q)),
+    own AS MATERIALIZED (SELECT idx, term, 1.0 AS energy, 1 AS lexical FROM q UNION ALL SELECT idx, node, energy * 0.3, 0 FROM b5 JOIN q ON start = term WHERE n <= 5),
+    f2 AS MATERIALIZED (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM own) GROUP BY term),
+    rw AS MATERIALIZED (SELECT p.doc_id, idx, lexical, {_HYBRID_SCORE} * energy AS score FROM post p JOIN own ON p.term = own.term JOIN f2 ON p.term = f2.term JOIN st ON p.shard_id = st.shard_id WHERE lexical = 1 OR f2.df <= 5000),
+    ds AS MATERIALIZED (SELECT doc_id, sum(score) AS score, count(DISTINCT idx) AS k, sum(lexical) AS matched FROM rw GROUP BY doc_id),
+    lv AS (SELECT count(DISTINCT idx) AS live FROM rw), ok AS (SELECT max(k) AS top FROM ds),
+    fu AS (SELECT doc_id, score * pow(matched / {float(len(WORDS))}, 2.0) AS s FROM ds, lv, ok WHERE k = live OR top < live)
+    SELECT 'default' AS shard_id, doc_id, round(s, 6) AS score FROM fu ORDER BY round(s, 12) DESC, doc_id LIMIT 20"""
+)
 def hybrid_and(spark, sf_dir):
-    return _six(search.search(_with_graph(spark, sf_dir), _ask({"hybrid": {"field": "text", "value": TEXT, "operator": "and"}})))
+    return _six(search.search(_with_graph(spark, sf_dir), _ask({"hybrid": {"field": "text", "value": TEXT, "operator": "and", "max_hops": 1}})))
+
+
+@query()
+def hybrid_or_deep(spark, sf_dir):
+    return _six(search.search(_with_graph(spark, sf_dir), _ask({"hybrid": {"field": "text", "value": TEXT}})))
 
 
 _RANKED = """, a AS MATERIALIZED (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM x),
@@ -482,7 +618,7 @@ _RANKED = """, a AS MATERIALIZED (SELECT doc_id, score, row_number() OVER (ORDER
 
 @query(_terms({"x": "thing", "y": "license"}) + _RANKED)
 def rrf_fusion(spark, sf_dir):
-    i, p = text_index(spark, sf_dir), Pipeline()
+    i, p = stored_index(spark, sf_dir), Pipeline()
     one = lambda v: search.hits(i, _ask({"term": {"field": "text", "value": v}}), p)
     return _six(search.fuse(one("thing"), one("license"), 0.3))
 
@@ -535,7 +671,11 @@ def shard_key_computed(spark, sf_dir):
     return c.groupBy(key.alias("shard_id")).agg(F.count("*").alias("n"))
 
 
-@query()
+_FNV = """WITH h AS (SELECT list_reduce(list_prepend(2166136261::UBIGINT, list_transform(range(1, strlen(c_name) + 1), lambda i: ascii(substr(c_name, i, 1))::UBIGINT)),
+      lambda a, x: (xor(a, x) * 16777619::UBIGINT) & 4294967295::UBIGINT) AS h FROM customer)"""
+
+
+@query(_FNV + " SELECT 'h' || lpad(CAST(h % 8 AS VARCHAR), 2, '0') AS shard_id, count(*) AS n FROM h GROUP BY ALL")
 def shard_key_hash(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.groupBy(sharding.hash_shard(F.col("c_name"), 8).alias("shard_id")).agg(F.count("*").alias("n"))
@@ -580,14 +720,30 @@ def hydrate_hits(spark, sf_dir):
 # --- exports, models, streaming ------------------------------------------------------------------
 
 
-@query()
+def _export_sql() -> str:
+    """The 14 columns of the edge export over g; log-likelihood by its entropy form."""
+    h = lambda *xs: " + ".join(f"(CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END)" for x in xs)
+    k = ["c", "greatest(da - c, 0)", "greatest(db - c, 0)", "greatest(n - da - db + c, 0)"]
+    total = " + ".join(k)
+    llr = f"2 * ({h(*k)} - ({h(f'{k[0]} + {k[1]}', f'{k[2]} + {k[3]}')}) - ({h(f'{k[0]} + {k[2]}', f'{k[1]} + {k[3]}')}) + {h(total)})"
+    return (
+        _edge_ctes(_NPMI)
+        + f""", c AS (SELECT *, CAST(cnt AS DOUBLE) AS c FROM g WHERE weight > 0)
+    SELECT term_a, term_b, cnt AS cooc_count, da AS df_a, db AS df_b, CAST(n AS BIGINT) AS total_docs, round(weight, 6) AS weight,
+      round(CASE WHEN c <> n THEN ln((c / n) / ((da / n) * (db / n))) / -ln(c / n) ELSE 0 END, 6) AS npmi, round({llr}, 6) AS llr,
+      round(2 * c / (da + db), 6) AS dice, round(ln(1 + c), 6) AS log_count, round(least(da, db) / greatest(da, db), 6) AS df_ratio,
+      round(weight, 6) AS target_weight, 'pmi' AS source FROM c"""
+    )
+
+
+@query(_export_sql())
 def export_edge_features(spark, sf_dir):
-    docs = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
-    i = Index.build(docs, Spec((Field("text"),)))
-    return ml.edge_features(_edges(spark, sf_dir), i.term_stats, docs.count())
+    i = stored_index(spark, sf_dir)
+    total = i.shard_stats.agg(F.sum("total_docs")).first()[0]
+    return ml.edge_features(_edges(spark, sf_dir), i.term_stats, total, field="text")
 
 
-@query()
+@query(_edge_ctes(_NPMI) + " SELECT term_a, term_b, printf('%.6f', weight) AS weight FROM g WHERE weight > 0")
 def export_graph(spark, sf_dir):
     return ml.graph_rows(_edges(spark, sf_dir))
 
@@ -595,9 +751,9 @@ def export_graph(spark, sf_dir):
 @query()
 def export_expansion(spark, sf_dir):
     queries = spark.createDataFrame([(1, w) for w in WORDS[:2]], "query_id int, term string")
-    i = text_index(spark, sf_dir)
+    i = stored_index(spark, sf_dir)
     judged = table(spark, sf_dir, "labels").select(F.lit(1).alias("query_id"), "doc_id", F.col("quality").alias("grade"))
-    return ml.expansion_features(_edges(spark, sf_dir), queries, i.postings, i.term_stats, judged)
+    return ml.expansion_features(_graph(spark, sf_dir), queries, i.postings, i.term_stats, judged)
 
 
 @query()
@@ -611,9 +767,8 @@ def ingest_stream(spark, sf_dir):
     """Streaming ingest of the documents; its state equals the batch index."""
     from .streaming import ingest as stream
 
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="termweave-")
-    out = f"{root}/stream-{uuid.uuid4().hex}"
+    out = workspace.new_path(spark, "stream")
     path = f"{sf_dir}/documents.parquet"
     docs = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parque[t]")
-    stream.start(docs, Spec((Field("text"),)), out, f"{out}/checkpoint").awaitTermination()
+    stream.start(docs, Spec((SIMPLE,)), out, f"{out}/checkpoint").awaitTermination()
     return stream.state(spark, out)["term_stats"].select("term", "df")

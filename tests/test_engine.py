@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import analysis, porter2, scalars, scoring
 from termweave.operators import cooc, graph, hydrate, sharding, terms
-from termweave.operators.index import Field, Index, Spec
+from termweave.operators.index import Field, Index, Spec, tokens
 from termweave.plans import catalog, request
 
 
@@ -29,9 +29,41 @@ def test_split_terms(text, want):
 
 
 def test_sentences(spark):
-    t = analysis.standard_tokens("Pi is 3.14 here. Next one! Last?")
+    text = "Pi is 3.14 here. Next one! Last?"
+    t = analysis.standard_tokens(text)
     assert [(x[0], x[4]) for x in t] == [("pi", 0), ("is", 0), ("3.14", 0), ("here", 0), ("next", 1), ("one", 1), ("last", 2)]
-    assert [(r.term, r.sentence) for r in one(spark, analysis.with_sentences(F.lit("Pi is 3.14 here. Next one! Last?")))] == [(x[0], x[4]) for x in t]
+    rows = spark.createDataFrame([(1, text), (2, "..."), (3, None), (4, "a.b c;d e.g. 1;2 v.2")], "doc_id long, text string")
+    got = [(r.doc_id, r.sentence, [x.term for x in r.tokens]) for r in analysis.sentence_rows(rows, "text", ("doc_id",)).orderBy("doc_id", "sentence").collect()]
+    assert got == [(1, 0, ["pi", "is", "3", "14", "here"]), (1, 1, ["next", "one"]), (1, 2, ["last"]), (4, 0, ["a", "b", "c"]), (4, 1, ["d", "e", "g"]), (4, 2, ["1", "2", "v"]), (4, 3, ["2"])]
+
+
+def test_standard_columns_equal_the_exact_analysis(spark):
+    """Terms, positions and sentences of the Column path are those of Unicode word segmentation, on real texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select("doc_id", "text")
+    want = {(r.doc_id, r.term, r.position, r.sentence) for r in analysis.exact_tokens(docs, "doc_id", "text").collect()}
+    toks = tokens(docs, Spec((Field("text"),)))
+    assert {(r.doc_id, r.term, r.position, r.sentence) for r in toks.collect()} == want
+
+
+def test_standard_postings(spark):
+    docs = spark.createDataFrame([(1, "The runner's running; runs, run. face&body"), (2, None), (3, "the")], "doc_id long, text string")
+    i = Index.build(docs, Spec((Field("text"),)))
+    got = {(r.term, r.doc_id): (r.tf, r.doc_len, r.positions) for r in i.postings.collect()}
+    want = {}
+    for t in analysis.standard_analyze(analysis.standard_tokens(docs.first().text)):
+        want.setdefault((t[0], 1), []).append(t[1])
+    assert got == {k: (len(v), len(want), v) for k, v in want.items()}
+    assert i.field_stats.first().total_len == len(want) and i.shard_stats.first().total_docs == 1
+
+
+def test_words_are_cut_once(spark):
+    """No plan evaluates the text's words above the row that cuts them, nor filters on what derives from them."""
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for field in (Field("text", analyzer="simple"), Field("text")):
+        plan = Index.build(docs, Spec((field,))).postings._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(lower(text") == 1
+    for plan in (tokens(docs, Spec((Field("text", analyzer="simple"),))), cooc.document_pairs(docs, Spec((Field("text", analyzer="simple"),)), 3)):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(text") == 1
 
 
 @pytest.mark.parametrize(("a", "b", "d"), [("abc", "bac", 1), ("kitten", "sitting", 3), ("headlihgt", "headlight", 1), ("", "ab", 2), ("ab", "ba", 1), ("same", "same", 0)])
@@ -73,7 +105,7 @@ def test_scores(spark):
 @pytest.fixture(scope="module")
 def index(spark):
     rows = [(1, "Hello foo hello"), (2, "hello world"), (3, None), (4, ""), (5, "headlight headline"), (6, "headlight heavyduty world")]
-    return Index.build(spark.createDataFrame(rows, "doc_id long, text string"), Spec((Field("text"),)))
+    return Index.build(spark.createDataFrame(rows, "doc_id long, text string"), Spec((Field("text", analyzer="simple"),)))
 
 
 def test_postings(index):
@@ -98,7 +130,7 @@ def test_index_round_trip(index, spark, tmp_path):
 
 def test_pairs_both_ways(spark):
     docs = spark.createDataFrame([("s", "t", 1, "a b a c b"), ("s", "t", 2, "a"), ("s", "t", 3, "")], "shard_id string, field string, doc_id long, text string")
-    by_row = cooc.pairs(cooc.row_pairs(docs, analysis.simple_words(F.col("text")), 2))
+    by_row = cooc.document_pairs(docs.withColumnRenamed("shard_id", "s"), Spec((Field("text", analyzer="simple"),), shard_column="s"), 2)
     toks = docs.select("shard_id", "field", "doc_id", F.lit(0).alias("sentence"), F.posexplode(analysis.simple_words(F.col("text"))).alias("at", "term"))
     by_join = cooc.pairs(cooc.pair_rows(toks, 2))
     tidy = lambda d: sorted((r.term_a, r.term_b, r.cnt, round(r.wsum, 9)) for r in d.collect())
