@@ -9,33 +9,32 @@ becomes a distance by one added component (the rest of the shard's largest norm)
 serves vectors of unequal norms. The index covers every row and is written as a table.
 
 Queries come in blocks; each (block, shard) pair descends the levels and runs a beam search for all
-its queries at once, then rescores its best nodes in doubles on the original vectors. The shards'
-lists are merged per query.
+its queries at once, then rescores its best nodes in doubles on the original vectors. Pairs are dealt
+to a grid of tasks (vectors.over_grid), and the shards' lists are merged per query. Every query visits
+every shard, so the work is queries x shards.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part;
-vectors of different lengths are never compared; a repeated vec_id counts once per distinct vector;
+vectors of different lengths are never compared; a repeated vec_id counts once, with its smallest vector;
 fewer candidates than k give all that are found; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
-from .vectors import best_of, packed, shards, unpack, usable
+from .vectors import one_each, over_grid, packed, pieces, shards, unpack, usable
 
 SHARD_NODES = 8192
-BLOCK_ROWS = 512
+BLOCK_BYTES = 256 << 10
 LINKS = 16
 CANDIDATES = 64
 LEVEL_RATIO = 16
-BEAM = 160
-ENTRIES = 8
+BEAM = 256
+ENTRIES = 32
 STEP = 4
 
 
@@ -143,14 +142,16 @@ def search(q: np.ndarray, vectors: np.ndarray, nodes: list[np.ndarray], tables:
     return found
 
 
-def index(vectors: DataFrame, k: int) -> DataFrame:
-    """The index table: per (dim, shard) vectors, their ids, and the levels' flat arrays."""
-    rows = usable(vectors, drop_zero=True)
+def index(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """(the index table: per (dim, shard) vectors, their ids, and the levels' flat arrays; its number of shards).
+
+    vectors are rows of vectors.one_each().
+    """
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)  # limited before the shuffle
+    few = vectors.withColumn("nth", nth).where(F.col("nth") <= k + 1)  # limited before the shuffle
     nodes = few.groupBy("v", "dim").agg(F.array_sort(F.collect_set("vec_id")).alias("members"))
     nodes = materialize(nodes.withColumn("vec_id", F.col("members")[0]), "nodes")
-    n = nodes.count()
+    n = max(1, -(-nodes.count() // SHARD_NODES))
 
     def make(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id", kind="stable")
@@ -162,39 +163,36 @@ def index(vectors: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame([row], columns=["dim", "shard", "vectors", "ids", "ptr", "nodes", "links"])
 
     schema = "dim int, shard int, vectors binary, ids binary, ptr binary, nodes array<binary>, links array<binary>"
-    return materialize(shards(nodes, max(1, -(-n // SHARD_NODES))).groupBy("dim", "shard").applyInPandas(make, schema), "hnsw")
+    return materialize(shards(nodes, n).groupBy("dim", "shard").applyInPandas(make, schema), "hnsw"), n
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, width: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: about the k largest inner products of every query row."""
     ship(vectors.sparkSession)
-    graph = index(vectors, k)
-    queries = usable(vectors, drop_zero=True).where(is_query)
-    blocks = packed(shards(queries, max(1, -(-queries.count() // BLOCK_ROWS))).withColumnRenamed("shard", "block"), "block")
-    blocks = materialize(blocks.select("dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "blocks")
-    tiles = graph.join(blocks, "dim").repartition(F.col("shard"), F.col("block"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for t in p.itertuples():
-                q_ids, q = unpack(t.q_ids, t.q_vectors, t.dim)
-                x = np.frombuffer(t.vectors, np.float64).reshape(-1, int(t.dim))
-                ids, ptr = np.frombuffer(t.ids, np.int64), np.frombuffer(t.ptr, np.int64)
-                nodes = [np.frombuffer(a, np.int32) for a in t.nodes]
-                tables = [np.frombuffer(a, np.int32).reshape(len(b), -1) for a, b in zip(t.links, nodes, strict=True)]
-                found = search(q, x, nodes, tables, max(width, 2 * k))[:, : k + 8]
-                out_q, out_v, out_s = [], [], []
-                for i, at in enumerate(found):
-                    at = at[at >= 0]
-                    s = np.einsum("ij,j->i", x[at], q[i])
-                    who = np.concatenate([ids[ptr[j] : ptr[j + 1]] for j in at])
-                    s = np.repeat(s, ptr[at + 1] - ptr[at])
-                    ok = who != q_ids[i]
-                    who, s = who[ok], s[ok]
-                    best = np.lexsort((who, -s))[:k]
-                    out_q.append(np.full(len(best), q_ids[i]))
-                    out_v.append(who[best])
-                    out_s.append(s[best])
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "shard": t.shard, "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    return best_of(tiles.mapInPandas(run, "query_id long, shard int, vec_id long, score double"), k)
+    rows = materialize(one_each(usable(vectors, drop_zero=True)), "vectors")
+    graph, n_shards = index(rows, k)
+    queries = rows.where(is_query)
+    _, n_blocks = pieces(queries, BLOCK_BYTES)
+    blocks = packed(shards(queries, n_blocks).withColumnRenamed("shard", "block"), "block")
+
+    def find(t, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q_ids, q = unpack(b.ids, b.vectors, b.dim)
+        x = np.frombuffer(t.vectors, np.float64).reshape(-1, int(t.dim))
+        ids, ptr = np.frombuffer(t.ids, np.int64), np.frombuffer(t.ptr, np.int64)
+        nodes = [np.frombuffer(a, np.int32) for a in t.nodes]
+        tables = [np.frombuffer(a, np.int32).reshape(len(b), -1) for a, b in zip(t.links, nodes, strict=True)]
+        out_q, out_v, out_s = [], [], []
+        for i, at in enumerate(search(q, x, nodes, tables, max(width, 2 * k))[:, : k + 8]):
+            at = at[at >= 0]
+            s = np.einsum("ij,j->i", x[at], q[i])
+            who = np.concatenate([ids[ptr[j] : ptr[j + 1]] for j in at])
+            s = np.repeat(s, ptr[at + 1] - ptr[at])
+            ok = who != q_ids[i]
+            who, s = who[ok], s[ok]
+            best = np.lexsort((who, -s))[:k]
+            out_q.append(np.full(len(best), q_ids[i]))
+            out_v.append(who[best])
+            out_s.append(s[best])
+        return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+
+    return over_grid(graph, blocks, n_shards, n_blocks, find, k, "double")

@@ -6,17 +6,16 @@ batch never needs more than a small multiple of its own bytes, whatever the numb
 
 from __future__ import annotations
 
-import atexit
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.workspace import mark, materialize, new_path, release, shared_dir  # noqa: F401  used by the operators
 
 #: Bytes of text that a kernel works on at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 19
@@ -33,42 +32,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is (local tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="termweave-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tw-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def release() -> None:
-    """Delete every table that materialize() wrote; results not yet saved must not be used after."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(release)
-
-
 # --- bytes and words -----------------------------------------------------------------------------
 
 

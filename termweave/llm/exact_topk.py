@@ -1,30 +1,27 @@
 """Exact top-k by inner product of integer vectors: tiles of query blocks and candidate shards.
 
-Candidates are packed into shards of about SHARD_ROWS vectors, queries into blocks of BLOCK_ROWS.
-Every (block, shard) pair is one tile: a matrix product, a selection of k per query that is exact on
-ties (smaller vec_id first), and k rows out. The lists are merged per query as a tree. Products are
+Candidates are packed into shards of about SHARD_BYTES, queries into blocks of BLOCK_BYTES. Every
+(block, shard) pair is one tile: a matrix product and a selection of k per query that is exact on
+ties (smaller vec_id first). Tiles are dealt to a grid of tasks (vectors.over_grid); the lists are
+merged per query within a task, then as a tree. Products are
 taken in doubles while all sums stay below 2**53, else in unbounded integers; scores beyond the
 range of a long are clamped to it.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of
-different lengths are never compared; a repeated vec_id counts once; fewer candidates than k give
+different lengths are never compared; a repeated vec_id counts once, with its smallest vector; fewer candidates than k give
 all of them; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .common import materialize, ship
-from .vectors import best_of, packed, shards, unpack, usable
+from .vectors import one_each, over_grid, packed, pieces, shards, unpack, usable
 
-SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
+SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 SCALE = 256
 _LONG = (1 << 63) - 1
 
@@ -59,23 +56,17 @@ def top_of_tile(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every query row among all other rows."""
     ship(vectors.sparkSession)
-    rows = usable(vectors, drop_zero=False)
-    n = rows.count()
-    nq = rows.where(is_query).count()
-    cands = packed(shards(rows, max(1, -(-n // SHARD_ROWS))), "shard")
-    cands = materialize(cands, "shards")
-    blocks = packed(shards(rows.where(is_query), max(1, -(-nq // BLOCK_ROWS))).withColumnRenamed("shard", "block"), "block")
-    blocks = materialize(blocks.select("dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "blocks")
-    tiles = cands.join(blocks, "dim").repartition(F.col("shard"), F.col("block"))
+    rows = materialize(one_each(usable(vectors, drop_zero=False)), "vectors")
+    (_, n_shards), (_, n_blocks) = pieces(rows, SHARD_BYTES), pieces(rows.where(is_query), BLOCK_BYTES)
+    cands = packed(shards(rows, n_shards), "shard")
+    blocks = packed(shards(rows.where(is_query), n_blocks).withColumnRenamed("shard", "block"), "block")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for t in p.itertuples():
-                c_ids, c = unpack(t.ids, t.vectors, t.dim)
-                q_ids, q = unpack(t.q_ids, t.q_vectors, t.dim)
-                s = products(np.floor(q * scale), np.floor(c * scale))
-                at = np.minimum(np.searchsorted(c_ids, q_ids), len(c_ids) - 1)
-                r, j = top_of_tile(s, np.where(c_ids[at] == q_ids, at, -1), k)
-                yield pd.DataFrame({"query_id": q_ids[r], "shard": t.shard, "vec_id": c_ids[j], "score": s[r, j]})
+    def find(t, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c_ids, c = unpack(t.ids, t.vectors, t.dim)
+        q_ids, q = unpack(b.ids, b.vectors, b.dim)
+        s = products(np.floor(q * scale), np.floor(c * scale))
+        at = np.minimum(np.searchsorted(c_ids, q_ids), len(c_ids) - 1)
+        r, j = top_of_tile(s, np.where(c_ids[at] == q_ids, at, -1), k)
+        return q_ids[r], c_ids[j], s[r, j]
 
-    return best_of(tiles.mapInPandas(run, "query_id long, shard int, vec_id long, score long"), k)
+    return over_grid(cands, blocks, n_shards, n_blocks, find, k, "long")

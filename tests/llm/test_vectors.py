@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from termweave.llm import ann, exact_topk, queries
+from termweave.llm import ann, exact_topk, queries, vectors
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<float>, dim int, shard int"
@@ -79,6 +79,38 @@ def test_recall_on_embeddings(spark, monkeypatch):
     assert len(got) == sum(i % 20 == 0 for i in ids.tolist()) and hit / n >= 0.9
 
 
+def test_recall_on_full_shards():
+    """A shard of production size: clustered vectors of unequal norms, and normal ones; 0.9 at least."""
+    r = np.random.default_rng(5)
+    n, dim, k = ann.SHARD_NODES, 64, 20
+    centres = r.standard_normal((60, dim)) * 2
+    clustered = (centres[r.integers(0, 60, n)] + r.standard_normal((n, dim)) * 0.4) * r.lognormal(0, 0.3, (n, 1))
+    for name, x in (("clustered, unequal norms", clustered), ("normal", r.standard_normal((n, dim)))):
+        nodes, tables = ann.build(x, 0)
+        q = x[r.choice(n, 200, replace=False)]
+        found = ann.search(q, x, nodes, tables)[:, :k]
+        exact = np.argsort(-(q @ x.T), axis=1)[:, :k]
+        recall = np.mean([len(set(a) & set(b)) / k for a, b in zip(found, exact, strict=True)])
+        print(name, recall)
+        assert recall >= 0.9
+
+
+def test_grid_covers_every_pair_once():
+    for shards, blocks, workers in ((1, 1, 4), (7, 6, 6), (3, 50, 8), (1000, 40, 16), (5000, 800, 64)):
+        down, across = vectors.grid(shards, blocks, workers)
+        assert 1 <= down <= shards and 1 <= across <= blocks
+        assert -(-shards // down) * -(-blocks // across) <= 4 * vectors.TILES
+
+
+def test_reused_ids(spark):
+    """Of two vectors with one id the smaller stands; repeats of a row change nothing."""
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [0.5, 9.0]), (2, [2.0, 0.0])] + [(3, [1.0, 1.0])] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id, r.score) for r in exact_topk.top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(1, 2, 512 * 256), (2, 3, 256 * 256), (3, 1, 128 * 256)]
+    assert [r.vec_id for r in ann.nearest(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()] == [2, 3, 1]
+
+
 def test_flat_graph_links_are_valid():
     x = np.random.default_rng(1).standard_normal((300, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
