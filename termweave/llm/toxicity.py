@@ -1,18 +1,21 @@
 """Toxicity by maximum-scoring segments over token log-odds, calibrated by extreme-value theory.
 
 Training (bounded: MAX_LABEL_ROWS labelled documents, the lowest by hash of doc_id): counts of
-letter words and of their first bytes (PREFIXES), at most COUNT_CAP of each in a document and each
-group of near copies having one vote, give log-odds with an informative Dirichlet prior; features
-whose z-score reaches MIN_Z form the lexicon (at most LEXICON_SIZE, so what is shipped to tasks has
-a fixed bound). A word scores as its best feature; every other word costs DRIFT. Karlin-Altschul lambda solves sum p * exp(lambda * s) = 1 over the words of clean
-documents; K follows from the segments seen in them.
+letter words and of their first bytes (PREFIXES), at most COUNT_CAP of each in a document (a word
+said a hundred times is one habit) and each group of near copies having one vote, give log-odds with
+an informative Dirichlet prior; features whose z-score reaches MIN_Z form the lexicon (at most
+LEXICON_SIZE, a bound of the model that is shipped to tasks). A word scores as its best feature;
+every other word costs the drift: DRIFT, or more where clean words would else gain on average.
+Karlin-Altschul lambda solves sum p * exp(lambda * s) = 1, where p is the share of the clean
+documents' words with score s, counted in a scan of them; K follows from the segments seen there.
 
 Scoring: one linear scan per document finds all maximal segments. A segment of score S among n
 words has E = K * n * exp(-lambda * S); passages with E <= MAX_E are reported. The document's
 score is a logistic function of its best and its summed -ln E, fitted on the same labelled rows.
 
 Cases: null and empty texts have no segments and get the score of a document without evidence;
-labels that are null or whose document is missing are not used; labels of one class only, or none,
+labels that are null or whose document is missing are not used; of several texts with one doc_id the
+smallest trains; labels of one class only, or none,
 give the smoothed share of label 1 for every document; repeated rows are scored each; long texts
 are scanned whole, in one slice each; extra columns are not read.
 """
@@ -37,18 +40,18 @@ COUNT_CAP = 8
 MIN_Z = 3.0
 DRIFT = 0.2
 MAX_E = 0.05
-TOP_SCORE = 8.0
 
 
 @dataclass
 class Model:
-    """Lexicon (sorted hashes and scores), lambda, K, and logistic weights (bias, best, summed)."""
+    """Lexicon (sorted hashes and scores), lambda, K, logistic weights (bias, best, summed) and drift."""
 
     words: np.ndarray
     scores: np.ndarray
     lam: float
     k: float
     weights: np.ndarray
+    drift: float = DRIFT
 
 
 def held_out_by(doc_id: Column, parts: int, rest: int) -> Column:
@@ -62,7 +65,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, rest: i
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out_by(F.col("doc_id"), parts, rest)).dropDuplicates(["doc_id"])
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id")  # at most `most` pairs of numbers
+    found = texts.join(F.broadcast(rows), "doc_id")  # at most `most` pairs of numbers
+    # one text per id, aggregated before the shuffle: repeats of an id are no more training rows
+    return found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def maximal_segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -123,8 +128,8 @@ def _training_rows(rows: DataFrame) -> DataFrame:
     return rows.select("label", "text").mapInArrow(run, "label int, near long, tokens array<long>, counts array<long>")
 
 
-def _evidence(model: Model, column: pa.Array) -> Iterator[tuple[int, float, float, list[dict]]]:
-    """For each text: words, best and summed -ln E of its segments, significant passages."""
+def _word_values(model: Model, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each slice of texts: word starts and ends, words before each text, text offsets, scores of the words (0: no feature)."""
     gate = np.zeros(1 << 16, bool)
     gate[(model.words & np.uint64(0xFFFF)).astype(np.int64)] = True
     for _, _, buf, offsets in text_slices(column):
@@ -135,6 +140,12 @@ def _evidence(model: Model, column: pa.Array) -> Iterator[tuple[int, float, floa
             place = np.minimum(np.searchsorted(model.words, h[maybe]), len(model.words) - 1)
             known = model.words[place] == h[maybe]
             np.maximum.at(value, maybe[known], model.scores[place[known]])
+        yield s, e, ptr, offsets, value
+
+
+def _evidence(model: Model, column: pa.Array) -> Iterator[tuple[int, float, float, list[dict]]]:
+    """For each text: words, best and summed -ln E of its segments, significant passages."""
+    for s, e, ptr, offsets, value in _word_values(model, column):
         hits = np.flatnonzero(value)
         bounds = np.searchsorted(hits, ptr)
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -144,7 +155,7 @@ def _evidence(model: Model, column: pa.Array) -> Iterator[tuple[int, float, floa
                 continue
             at = (hits[a:b] - ptr[i]).tolist()
             found, values = [], []
-            for x, y, total in maximal_segments(at, value[hits[a:b]].tolist(), DRIFT):
+            for x, y, total in maximal_segments(at, value[hits[a:b]].tolist(), model.drift):
                 log_e = float(np.log(model.k) + np.log(n) - model.lam * total)
                 values.append(max(0.0, -log_e))
                 if log_e <= np.log(MAX_E):
@@ -182,9 +193,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def _signal(best: np.ndarray, summed: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.minimum(best, 50.0), np.log1p(summed)])
+    return np.log1p(np.column_stack([best, summed]))
 
 
+def _score_shares(rows: DataFrame, model: Model) -> tuple[np.ndarray, float]:
+    """(share of all words that have each lexicon score, share of words without one) in the texts of rows."""
+    values = np.unique(model.scores)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(values) + 1, np.int64)
+        for b in batches:
+            for *_, value in _word_values(model, b.column(0)):
+                n += np.bincount(np.where(value > 0, np.searchsorted(values, value) + 1, 0), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["at", "n"])
+
+    found = rows.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a row per score
+    n = np.zeros(len(values) + 1)
+    n[found["at"].to_numpy()] = found["n"].to_numpy()
+    share = n / max(n.sum(), 1.0)
+    return share[1:], float(share[0])
+
+
+def _lambda(values: np.ndarray, p: np.ndarray, rest: float, drift: float) -> float:
+    """The positive root of sum p * exp(lambda * s) = 1; the expected score must be negative."""
+    total = lambda lam: float((p * np.exp(lam * values)).sum() + rest * np.exp(-lam * drift))
+    low, high = 0.0, 1.0
+    while total(high) < 1 and high < 64:
+        low, high = high, 2 * high
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if total(mid) < 1 else (low, mid)
+    return max(low, 1e-6)
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, rest: int = 0, most: int = MAX_LABEL_ROWS) -> Model:
     """Fit lexicon, lambda, K and logistic weights; see the module's text."""
     ship(docs.sparkSession)
@@ -197,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     flat = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if not v1 or not v0:
         return flat
-    words = rows.join(votes, ["near", "label"]).select("label", (1 / F.col("n")).alias("v"), F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
+    words = rows.join(F.broadcast(votes), ["near", "label"]).select("label", (1 / F.col("n")).alias("v"), F.explode(F.arrays_zip("tokens", "counts")).alias("t"))  # at most MAX_LABEL_ROWS votes
     vote = lambda c: F.sum(F.when(F.col("label") == c, F.col("v") * F.col("t.counts")).otherwise(0.0))
     counts = materialize(words.groupBy(F.col("t.tokens").alias("word")).agg(vote(1).alias("y1"), vote(0).alias("y0")), "toxcounts")
     sums = counts.agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")).first()
@@ -210,17 +250,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
         return flat
     lexicon["word"] = lexicon.word.to_numpy().view(np.uint64)
     lexicon = lexicon.sort_values("word")
-    model = Model(lexicon.word.to_numpy(), np.clip(lexicon.d.to_numpy(), 0.1, TOP_SCORE), 1.0, 1.0, flat.weights)
+    model = Model(lexicon.word.to_numpy(), np.maximum(lexicon.d.to_numpy(), 0.1), 1.0, 1.0, flat.weights)
+    p, rest = _score_shares(chosen.where("label = 0"), model)
+    values = np.unique(model.scores)
+    model.drift = max(DRIFT, 2 * float(p @ values) / max(rest, 0.5))
+    model.lam = _lambda(values, p, rest, model.drift)
     tokens = materialize(_scored(chosen, model, extra=["label"]), "toxscan")
     clean = tokens.where("label = 0").agg(F.sum("n_words").alias("n")).first().n or 1
-    p = (lexicon.y0.to_numpy() + lexicon.a.to_numpy()) / max(clean, 1)
-    p = np.minimum(p, 0.5 / len(p))
-    low, high = 1e-3, 20.0
-    for _ in range(80):
-        lam = (low + high) / 2
-        total = float((p * np.exp(lam * model.scores)).sum() + (1 - p.sum()) * np.exp(-lam * DRIFT))
-        low, high = (lam, high) if total < 1 else (low, lam)
-    model.lam = low
     level = float(model.scores.min())
     seen = tokens.where("label = 0").select(F.explode("passages").alias("p")).where(F.col("p.score") >= level).count()
     model.k = (seen + 0.5) / clean * float(np.exp(min(model.lam * level, 600)))
