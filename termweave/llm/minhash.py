@@ -16,7 +16,8 @@
 5. Components come from large-star / small-star rounds on the links, all as DataFrames.
 
 Cases: null or empty texts have no shingles, are linked with nothing and are their own component;
-texts with fewer words than a shingle are one shingle; repeated rows fall into one class; rows with
+texts with fewer words than a shingle are one shingle; repeated rows fall into one class; several
+texts of one doc_id are one document, linked with what any of them is linked with; rows with
 a null doc_id are never linked, their component_id is null and they are kept; an empty table gives
 an empty result; extra columns are not read.
 """
@@ -41,7 +42,8 @@ BAND_ROWS = 4
 #: Signatures must agree on this share before full sets are compared: 4.6 standard deviations below 0.8.
 AGREE = 0.64
 TILE = 1024
-SLOTS = 1 << 24
+#: Bits of the id filter, of which a power of two is taken by the number of ids: 2 MB to 32 MB.
+LEAST_SLOTS, MOST_SLOTS = 1 << 24, 1 << 28
 MAX_ROUNDS = 60
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,6 +71,11 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def set_digest(items: np.ndarray) -> bytes | None:
+    """128 bits of a whole set; None of an empty one."""
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     """n minima per non-empty set, as uint32; sets are processed in cache-sized groups."""
     out = np.full((len(sets), n), np.uint32(0xFFFFFFFF))
@@ -110,7 +117,7 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = BAND_ROW
                     [
                         piece.column(0),
                         pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if ok else None for x, ok in zip(sets, live, strict=True)], pa.binary()),
+                        pa.array([set_digest(x) for x in sets], pa.binary()),
                         pa.array([x.tobytes() if ok else None for x, ok in zip(sig, live, strict=True)], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "set_key", "sig"],
@@ -121,23 +128,25 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = BAND_ROW
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of SLOTS bits (a fixed 2 MB) with the hashed doc_ids set: one-hash Bloom filter."""
-    slot = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+    """A bitmap with the hashed doc_ids set (a one-hash Bloom filter), of 16 bits an id within LEAST_SLOTS and MOST_SLOTS."""
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (16 * ids.count()).bit_length()))
+    slot = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"))
     per = 32_768
-    rows = slot.groupBy(F.floor(F.col("slot") / per).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % per).alias("bits")).collect()  # SLOTS / per rows at most
-    bits = np.zeros(SLOTS // 8, np.uint8)
+    rows = slot.groupBy(F.floor(F.col("slot") / per).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % per).alias("bits")).collect()  # slots / per rows at most
+    bits = np.zeros(slots // 8, np.uint8)
     for r in rows:
         bits[r.part * per // 8 : (r.part + 1) * per // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     return bits
 
 
 def full_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
-    """doc_id, items: the shingle hashes, as binary, of the documents in ids.
+    """node, items: the shingle hashes, as binary, of the classes in ids (node, doc_id, set_key).
 
-    The texts are filtered by a bitmap of fixed size where they are read, so that they are not
-    shuffled; a join with ids then settles the bitmap's few false hits.
+    The texts are filtered by a bitmap of bounded size where they are read, so that they are not
+    shuffled; a join with ids then settles the bitmap's false hits and texts of one id that differ.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    held = id_filter(ids)
+    bits = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,12 +154,14 @@ def full_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
             b = b.filter(pa.array((bits.value[slot >> 3] >> (slot & 7)) & 1 == 1, pa.bool_()))
             for part in range(0, b.num_rows, 512):
                 piece = b.slice(part, 512)
-                items = pa.array([x.tobytes() for x in shingle_sets(piece.column(1), words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column(0), items], ["doc_id", "items"])
+                sets = list(shingle_sets(piece.column(1), words))
+                cols = [piece.column(0), pa.array([set_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "set_key", "items"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
-    return rows.mapInArrow(run, "doc_id long, items binary").join(ids, "doc_id", "left_semi")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(len(held) * 8)))
+    found = rows.mapInArrow(run, "doc_id long, set_key binary, items binary").join(ids, ["doc_id", "set_key"])
+    return found.select("node", "items").dropDuplicates(["node"])  # repeated rows have one set
 
 
 def _agree(a: bytes, b: bytes) -> float:
@@ -309,24 +320,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ship(docs.sparkSession)
     known = materialize(sketch(docs, words), "sketch")
     classes = materialize(known.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    mine = classes.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("key"))
-    reps = known.join(mine, "doc_id").where("key = set_key").dropDuplicates(["doc_id"]).select("doc_id", "sig")  # one shuffle, by doc_id
+    # a class goes by its smallest doc_id; where one id has several texts, all but one of its classes go by a number above it
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("set_key"))
+    more = F.col("rep") + 1 + F.xxhash64("set_key").bitwiseAND(F.lit((1 << 40) - 1))
+    classes = materialize(classes.withColumn("nth", nth).select("set_key", "rep", F.when(F.col("nth") == 1, F.col("rep")).otherwise(more).alias("node")), "nodes")
+    mine = classes.select("node", F.col("rep").alias("doc_id"), F.col("set_key").alias("key"))
+    reps = known.join(mine, "doc_id").where("key = set_key").groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("set_key").alias("set_key"), F.first("sig").alias("sig"))
     reps = materialize(reps, "reps")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.col("sig").substr(i * (4 * BAND_ROWS) + 1, F.lit(4 * BAND_ROWS)), i))
-    rows = reps.select(F.col("doc_id").alias("doc"), F.explode(bands).alias("key"))
+    rows = reps.select(F.col("node").alias("doc"), F.explode(bands).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     crowd = materialize(rows.join(buckets, "key"), "buckets")
     social = crowd.groupBy("doc").agg(F.sum("size").alias("degree"))
     centres = crowd.join(social, "doc").groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("c")).select("key", F.col("c.doc").alias("centre"))
-    signed = materialize(reps.join(social.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), "signed")
+    signed = materialize(reps.join(social.select(F.col("doc").alias("node")), "node", "left_semi"), "signed")
     pairs = crowd.join(centres, "key").where("doc <> centre").select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
-    likely = materialize(_keep_pairs(_with_both(pairs, signed, "doc_id", "sig"), "sig", percent), "likely")
-    def sets_of(ids: DataFrame) -> DataFrame:
-        # repeated rows of one id share a set, or any one of them stands for it
-        return full_sets(docs, words, ids).dropDuplicates(["doc_id"])
+    likely = materialize(_keep_pairs(_with_both(pairs, signed, "node", "sig"), "sig", percent), "likely")
 
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    links = materialize(_keep_pairs(_with_both(likely, materialize(sets_of(ids), "sets"), "doc_id", "items"), "set", percent), "links")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return full_sets(docs, words, materialize(signed.select("node", "doc_id", "set_key").join(nodes, "node", "left_semi"), "wanted"))
+
+    ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    links = materialize(_keep_pairs(_with_both(likely, materialize(sets_of(ids), "sets"), "node", "items"), "set", percent), "links")
     stars = materialize(star_components(links), "components")
 
     # buckets of more than one component, each set of members once
@@ -335,20 +350,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     mark = F.struct(F.sum(F.xxhash64("doc").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("doc", F.lit(1))), F.count("*"))
     open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark")).where("lo <> hi")
     open_ = open_.groupBy("mark").agg(F.min("key").alias("key")).select("key")
-    tiles = _tile_rows(materialize(at.join(open_, "key", "left_semi"), "open"))
-    some = materialize(_likely_rows(tiles.join(signed.withColumnRenamed("doc_id", "doc"), "doc")), "some")
-    items = materialize(sets_of(some.select(F.col("doc").alias("doc_id")).distinct()), "opensets")
-    more = materialize(_tile_links(some.join(items.withColumnRenamed("doc_id", "doc"), "doc"), percent), "more")
-    final = star_components(more.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    placed = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    opened = materialize(at.join(open_, "key", "left_semi"), "open")
+    found = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if not opened.isEmpty():  # else no bucket has members of two components
+        tiles = _tile_rows(opened)
+        some = materialize(_likely_rows(tiles.join(signed.select(F.col("node").alias("doc"), "sig"), "doc")), "some")
+        items = materialize(sets_of(some.select(F.col("doc").alias("node")).distinct()), "opensets")
+        found = found.unionByName(materialize(_tile_links(some.join(items.withColumnRenamed("node", "doc"), "doc"), percent), "more"))
+    # the classes of one id are one document
+    final = star_components(found.unionByName(classes.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+    placed = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = known.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose document is its group's smallest doc_id, one row per doc_id; others go."""
+    """The rows of docs whose document is its group's smallest doc_id; others go, and so do repeats of a row's id and text.
+
+    Different texts of one doc_id all stay, as none of them is a copy by its id alone.
+    """
     found = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")  # the window below reuses the join's partitioning
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = docs.join(found, "doc_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy("text"))
     return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
