@@ -39,8 +39,8 @@ WORDS = 5
 PERCENT = 80
 BANDS = 32
 BAND_ROWS = 4
-#: Signatures must agree on this share before full sets are compared: 4.6 standard deviations below 0.8.
-AGREE = 0.64
+#: Signatures must agree on this share before full sets are compared: 5.6 standard deviations below 0.8.
+AGREE = 0.60
 TILE = 1024
 #: Bits of the id filter, of which a power of two is taken by the number of ids: 2 MB to 32 MB.
 LEAST_SLOTS, MOST_SLOTS = 1 << 24, 1 << 28
