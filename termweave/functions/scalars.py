@@ -53,6 +53,21 @@ def term_key(field: Column, term: Column) -> Column:
     return F.concat(field, F.lit("\u0000"), term)
 
 
+def term_number_id(number: Column) -> Column:
+    """The t<N> form of a term id."""
+    return F.concat(F.lit("t"), number.cast("string"))
+
+
+def key_of(*parts: Column) -> Column:
+    """A storage key: parts joined by a zero character."""
+    return F.concat_ws("\u0000", *parts)
+
+
+def key_parts(key: Column) -> Column:
+    """array<string>: the parts of a storage key."""
+    return F.split(key, "\u0000")
+
+
 def term_hash_id(field: Column, term: Column) -> Column:
     return F.concat(F.lit("t_"), F.substring(F.sha2(term_key(field, term), 256), 1, 16))
 
@@ -125,9 +140,14 @@ def missing(s: Column) -> Column:
     return s.isNull() | F.trim(s).isin("", "[]", "{}", "null")
 
 
+def json_path(field: str) -> str:
+    """The path of a top-level field, whatever dots or brackets its name has."""
+    return f"$['{field}']"
+
+
 def json_value(payload: Column, field: str) -> Column:
-    """A top-level value as text: strings trimmed, other values as they are written, null as ""."""
-    return F.coalesce(F.trim(F.get_json_object(payload, f"$.{field}")), F.lit(""))
+    """A top-level value as text: strings trimmed, other values in Spark's notation of numbers, null as ""."""
+    return F.coalesce(F.trim(F.get_json_object(payload, json_path(field))), F.lit(""))
 
 
 def infer_type(value: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from ..functions.scoring import cosine
 
@@ -14,6 +17,31 @@ def checked(embeddings: DataFrame, dim: int = 128) -> DataFrame:
     return embeddings.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit(f"embedding must have {dim} components")).cast(embeddings.schema["embedding"].dataType)))
 
 
+def write(embeddings: DataFrame, path: str, dim: int = 128) -> None:
+    """The sink: vectors of another dimension make the write fail; the last write of a term is the caller's to choose."""
+    checked(embeddings, dim).write.mode("overwrite").parquet(path)
+
+
+def encoded(vector: Column) -> Column:
+    """binary: the little-endian float32 form of a vector."""
+    return _encode(vector)
+
+
+def decoded(raw: Column) -> Column:
+    """array<float> of encoded()."""
+    return _decode(raw)
+
+
+@F.pandas_udf(BinaryType())
+def _encode(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: np.asarray(x, "<f4").tobytes(), na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def _decode(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: np.frombuffer(x, "<f4"), na_action="ignore")
+
+
 def pair_cosine(pairs: DataFrame, embeddings: DataFrame, key: str = "term") -> DataFrame:
     """a, b, cosine; 0 where either vector is unknown."""
     left = embeddings.select(F.col(key).alias("a"), F.col("embedding").alias("ea"))

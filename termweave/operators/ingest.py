@@ -29,7 +29,7 @@ def coerced(rows: DataFrame, mapping: Mapping, payload: str = "payload", strict:
     p = F.col(payload)
     cols, errors = [], []
     for f in mapping.fields:
-        raw = F.get_json_object(p, f"$.{f.name}")
+        raw = F.get_json_object(p, scalars.json_path(f.name))
         if f.name in mapping.required:
             errors.append(F.when(scalars.missing(raw), F.lit(f"{f.name}: required")))
         if f.kind in _COERCE:
@@ -52,8 +52,18 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bulk(raw: DataFrame, column: str = "body") -> DataFrame:
-    """input_index, payload: the elements of JSON arrays, one row each."""
-    return raw.select(F.posexplode(F.from_json(column, "array<string>")).alias("input_index", "payload"))
+    """input_index, payload, error: the elements of JSON arrays, one row each; a body that is no array is one row with an error."""
+    item = F.posexplode_outer(F.from_json(column, "array<string>")).alias("input_index", "payload")
+    rows = raw.select(F.col(column).alias("_body"), item)
+    empty = F.regexp_replace("_body", r"\s", "") == "[]"
+    error = F.when(F.col("input_index").isNull(), F.lit("body: not a JSON array")).when(F.json_object_keys("payload").isNull(), F.lit("payload: not an object"))
+    return rows.where(F.col("input_index").isNotNull() | ~F.coalesce(empty, F.lit(False))).select("input_index", "payload", error.alias("error"))
+
+
+def bulk_status(results: DataFrame) -> DataFrame:
+    """One row: total, failed and the status of a bulk request: 200 all good, 207 some, 400 none."""
+    out = results.agg(F.count("*").alias("total"), F.count("error").alias("failed"))
+    return out.withColumn("status", F.when(F.col("failed") == 0, 200).when(F.col("failed") < F.col("total"), 207).otherwise(400))
 
 
 def flattened(rows: DataFrame, key: str, payload: str = "payload") -> DataFrame:

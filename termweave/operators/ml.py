@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,16 +17,17 @@ EDGE_FEATURES = ["cnt", "df_a", "df_b", "n", "mean", "npmi"]
 
 
 def onnx_weigher(model: bytes) -> Callable[[dict[str, Column]], Column]:
-    """A weigher for edges(method="ml"): the model scores feature rows in Arrow batches, one session per worker."""
+    """A weigher for edges(method="ml"): the model scores feature rows in Arrow batches, one session per task."""
 
     @F.pandas_udf(DoubleType())
-    def run(cnt: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series, mean: pd.Series) -> pd.Series:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import numpy as np
         import onnxruntime
 
         session = onnxruntime.InferenceSession(model)
-        x = np.column_stack([cnt, a, b, n, mean]).astype(np.float32)
-        return pd.Series(np.ravel(session.run(None, {session.get_inputs()[0].name: x})[0]).astype(float))
+        for columns in batches:
+            x = np.column_stack(columns).astype(np.float32)
+            yield pd.Series(np.ravel(session.run(None, {session.get_inputs()[0].name: x})[0]).astype(float))
 
     return lambda f: run(f["cnt"], f["df_a"], f["df_b"], f["n"], f["mean"])
 
@@ -44,12 +45,13 @@ def rescored(expansions: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]
 
 
 def predicted_links(edges: DataFrame, predictor: Column, batch: int = 100, least: float = 0.1, most: float = 0.5) -> DataFrame:
-    """Edges between consecutive nodes of hash batches where the predictor, over the features of both, reaches `least`.
+    """Edges between consecutive nodes of batches of about `batch` nodes where the predictor, over the features of both, reaches `least`.
 
+    Nodes are dealt to batches by hash, as many as their number needs, so a batch stays small.
     Features are degree, avg_weight, max_weight, min_weight of a node and next_* of the next one.
     """
     nodes = graph.node_features(edges)
-    groups = F.pmod(F.xxhash64("node"), F.lit(batch))
+    groups = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-nodes.count() // batch))))
     order = Window.partitionBy("batch").orderBy("node")
     rows = nodes.withColumn("batch", groups)
     for c in ("node", "degree", "avg_weight", "max_weight", "min_weight"):

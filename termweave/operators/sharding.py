@@ -26,8 +26,11 @@ def hash_shard(seed: Column, count: int) -> Column:
     return one if count <= 1 else F.concat(F.lit("h"), F.lpad((fnv1a(seed) % count).cast("string"), 2, "0"))
 
 
-def shard_key(sharding: Sharding, doc_id: Column, get) -> Column:
-    """get(field) gives a payload or routing value as a string column."""
+def shard_key(sharding: Sharding, doc_id: Column, get, routing=None) -> Column:
+    """get(field) gives a payload value as a string column; routing(field) stands in where that is blank."""
+    if routing is not None:
+        given = get
+        get = lambda f: F.coalesce(F.when(F.trim(given(f)) != "", given(f)), routing(f))
     if sharding.strategy == "automatic":
         seed = F.trim(doc_id.cast("string"))
         if sharding.fields:

@@ -49,6 +49,8 @@ def fuzzy(stats: DataFrame, name: str, query: str, distance: int, limit: int | N
     for p in fuzzy_prefixes(query, d):
         near |= F.col("term").startswith(p)
     rows = _field(stats.where(near & (F.abs(F.octet_length("term") - len(query.encode())) <= d)), name)
+    # an edit of the bytes with swaps is at most two without; this test is bounded and runs in generated code
+    rows = rows.where(F.levenshtein(F.col("term"), F.lit(query), 2 * d) >= 0)
     out = rows.where(osa(F.col("term"), F.lit(query)) <= d).orderBy(F.desc("df"), "field", "term")
     return out.limit(limit) if limit else out
 
@@ -64,6 +66,13 @@ def lookup(stats: DataFrame, name: str = "", prefix: str = "", fuzzy_query: str
     return out.offset(offset).limit(min(limit, 1000))
 
 
+def cluster_lookup(stats: DataFrame, start: str = "", end: str = "", **asked) -> DataFrame:
+    """lookup() over the shards whose dates overlap [start, end]; shards whose names are no dates always take part."""
+    from .sharding import prune
+
+    return lookup(prune(stats, start or "0001-01-01", end or "9999-12-31") if start or end else stats, **asked)
+
+
 def with_ids(stats: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """field, term, term_id: stable ids from the key; aliases (field, alias, term) share their term's id."""
     out = merged(stats).select("field", "term", term_hash_id(F.col("field"), F.col("term")).alias("term_id"))

@@ -112,6 +112,23 @@ class Catalog:
         self._all[name] = replace(d, mapping=replace(d.mapping, mode=mode))
         return self.get(name).mapping
 
+    def mapping(self, name: str) -> dict[str, object]:
+        """The mapping as a response body."""
+        m = self.get(name).mapping
+        return {"version": m.version, "dynamic": m.mode, "fields": {f.name: {"type": f.kind, "analyzer": f.analyzer, "indexed": f.indexed, "required": f.name in m.required} for f in m.fields}}
+
+    def put_mapping(self, name: str, body: dict[str, object]) -> dict[str, object]:
+        """Add the fields and set the mode of a request body; the mapping after it."""
+        if unknown := set(body) - {"fields", "dynamic"}:
+            raise ValidationError("mapping", f"unknown settings {sorted(unknown)}")
+        if body.get("dynamic"):
+            self.set_mode(name, str(body["dynamic"]))
+        new = [Field(f, str(x["type"]), str(x.get("analyzer", "")), bool(x.get("indexed", True))) for f, x in (body.get("fields") or {}).items()]
+        if bad := [f.name for f in new if f.kind not in KINDS or not f.name.strip()]:
+            raise ValidationError("fields", f"unknown types or blank names: {bad}")
+        self.add_fields(name, new)
+        return self.mapping(name)
+
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The catalog as DataFrames: indexes and their fields."""
         rows = [(d.name, d.sharding.strategy, d.sharding.count, d.default_analyzer, d.mapping.mode, d.mapping.version) for d in self._all.values()]

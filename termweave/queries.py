@@ -12,6 +12,7 @@ from .functions import analysis, porter2, scalars, scoring
 from .operators import cooc, embeddings, graph, hydrate, index, ingest, ml, search, sharding, terms
 from .operators.index import Field, Index, Spec
 from .operators.sharding import Sharding
+from .plans import cluster
 from .plans.request import Pipeline
 from .sources import workspace
 
@@ -686,6 +687,48 @@ def shard_prune_range(spark, sf_dir):
     return sharding.prune(shard_key_date(spark, sf_dir), "1995-02-10", "1995-04-10")
 
 
+@query("""WITH s AS (SELECT strftime(o_orderdate, '%Y-%m') AS shard_id, o_orderpriority AS term, count(*) AS df FROM orders GROUP BY ALL)
+    SELECT 'o_orderpriority' AS field, term, CAST(sum(df) AS BIGINT) AS df FROM s WHERE shard_id BETWEEN '1995-02' AND '1995-04' GROUP BY term""")
+def terms_time_range(spark, sf_dir):
+    """Terms of the months that a time range touches."""
+    s = Sharding("date", fields=("o_orderdate",))
+    spec = Spec((Field("o_orderpriority", "keyword"),), key="o_orderkey", sharding=s)
+    stats = Index.build(table(spark, sf_dir, "orders"), spec).term_stats
+    return terms.cluster_lookup(stats, "1995-02-10", "1995-04-10", name="o_orderpriority")
+
+
+@query("SELECT CASE WHEN trim(c_mktsegment) < 'C' THEN 'n' || c_nationkey ELSE replace(lower(trim(c_mktsegment)), ' ', '-') END AS shard_id, count(*) AS n FROM customer GROUP BY ALL")
+def shard_key_fallback(spark, sf_dir):
+    """A blank component takes the routing value."""
+    c = table(spark, sf_dir, "customer").withColumn("segment", F.when(F.trim("c_mktsegment") < "C", F.lit("  ")).otherwise(F.col("c_mktsegment")))
+    key = sharding.shard_key(Sharding("computed", fields=("segment",)), F.col("c_custkey"), lambda f: F.col(f), lambda f: F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))
+    return c.groupBy(key.alias("shard_id")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT DISTINCT lang FROM documents), o AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1) % 3 AS k FROM s)
+    SELECT d.doc_id, 'node' || (k + 1) AS node FROM documents d JOIN o ON d.lang = o.lang""")
+def shard_routing(spark, sf_dir):
+    """Shards by language on three nodes, least loaded first, and the node of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("shard_id"))
+    c = _placed(docs)
+    return cluster.routed(docs, c.tables(spark)["shards"]).select("doc_id", "node")
+
+
+def _placed(docs: DataFrame) -> cluster.Cluster:
+    c = cluster.Cluster()
+    for i in (1, 2, 3):
+        c.apply("join", node=f"node{i}", at=0.0)
+    c.apply("assign", index="documents", shards=[r.shard_id for r in docs.select("shard_id").distinct().orderBy("shard_id").collect()])  # shard names
+    return c
+
+
+@query("""WITH s AS (SELECT DISTINCT source FROM documents), o AS (SELECT 'node' || ((row_number() OVER (ORDER BY source) - 1) % 3 + 1) AS node FROM s)
+    SELECT node, count(*) AS shards FROM o GROUP BY node""")
+def shard_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("shard_id"))
+    return cluster.shard_counts(_placed(docs).tables(spark)["shards"])
+
+
 @query("SELECT event_id, CAST(regexp_extract(props, '\"k\"\\s*:\\s*\"?(-?\\d+)', 1) AS VARCHAR) AS k FROM events")
 def json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.json_value(F.col("props"), "k").alias("k"))

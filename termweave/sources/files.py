@@ -22,8 +22,9 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def judgments(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, query_text, doc_id, grade of a TSV file: # comments, a header and short rows are skipped, the later line of a key wins."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")).where(~F.col("value").startswith("#"))
+    """query_id, query_text, doc_id, grade of TSV files: # comments, a header and short rows are skipped, the later line of a key wins (files by name)."""
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.text(path).select("value", line.alias("line")).where(~F.col("value").startswith("#"))
     cols = rows.withColumn("c", F.split("value", "\t")).where(F.size("c") >= 4)
     out = cols.select("line", *(F.trim(F.get("c", F.lit(i))).alias(n) for i, n in enumerate(("query_id", "query_text", "doc_id"))), F.trim(F.get("c", F.lit(3))).try_cast("int").alias("grade"))
     nth = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("line")))
