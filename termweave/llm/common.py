@@ -13,7 +13,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.workspace import mark, materialize, new_path, release, shared_dir  # noqa: F401  used by the operators
 
@@ -25,13 +26,34 @@ _INV = pow(_MULT, -1, 1 << 64)
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if only the driver's sys.path has it."""
+    """Let Python workers import this package even if only the driver's sys.path has it, with one thread of linear algebra each.
+
+    Tasks are the parallelism; more threads in a worker only wait for one another.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    env["OPENBLAS_NUM_THREADS"] = "1"
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+def bitmap(rows: DataFrame, hashed: Column, least: int, most: int) -> np.ndarray:
+    """A one-hash Bloom filter of a long column: bit (hash modulo size) is set; about 16 bits a row, within least and most (powers of two)."""
+    slots = min(most, max(least, 1 << (16 * rows.count()).bit_length()))
+    per = 32_768
+    slot = rows.select(F.pmod(hashed, F.lit(slots)).alias("slot"))
+    parts = slot.groupBy(F.floor(F.col("slot") / per).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % per).alias("bits")).collect()  # slots / per rows at most
+    bits = np.zeros(slots // 8, np.uint8)
+    for r in parts:
+        bits[r.part * per // 8 : (r.part + 1) * per // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the bits of these slots are set."""
+    return (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+
+
 # --- bytes and words -----------------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, materialize, mix, ship, span_hashes, text_slices, word_spans
+from .common import NON_SPACE, bitmap, in_bitmap, materialize, mix, ship, span_hashes, text_slices, word_spans
 
 WORDS = 5
 PERCENT = 80
@@ -127,31 +127,19 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, rows: int = BAND_ROW
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, schema)
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap with the hashed doc_ids set (a one-hash Bloom filter), of 16 bits an id within LEAST_SLOTS and MOST_SLOTS."""
-    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (16 * ids.count()).bit_length()))
-    slot = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"))
-    per = 32_768
-    rows = slot.groupBy(F.floor(F.col("slot") / per).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % per).alias("bits")).collect()  # slots / per rows at most
-    bits = np.zeros(slots // 8, np.uint8)
-    for r in rows:
-        bits[r.part * per // 8 : (r.part + 1) * per // 8] = np.frombuffer(bytes(r.bits), np.uint8)
-    return bits
-
-
 def full_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     """node, items: the shingle hashes, as binary, of the classes in ids (node, doc_id, set_key).
 
     The texts are filtered by a bitmap of bounded size where they are read, so that they are not
     shuffled; a join with ids then settles the bitmap's false hits and texts of one id that differ.
     """
-    held = id_filter(ids)
+    held = bitmap(ids, F.xxhash64("doc_id"), LEAST_SLOTS, MOST_SLOTS)
     bits = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slot = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits.value[slot >> 3] >> (slot & 7)) & 1 == 1, pa.bool_()))
+            b = b.filter(pa.array(in_bitmap(bits.value, slot), pa.bool_()))
             for part in range(0, b.num_rows, 512):
                 piece = b.slice(part, 512)
                 sets = list(shingle_sets(piece.column(1), words))
