@@ -3,8 +3,9 @@
 Words of all documents are counted; the most frequent ones are the vocabulary, which grows with the
 cube root of the number of words (side_of), and rarer words fall into hashed classes of rare words.
 A rare word's probability is its class's times count / (class count + 1); a word that was not
-counted takes 1 / (class count + 1), the share that the counted ones leave. Counts of the KEPT most
-frequent words are broadcast, rarer words meet theirs in a join. The network sums position-specific embeddings of SIDE words on
+counted takes 1 / (class count + 1), the share that the counted ones leave. Counts of the most
+frequent words, KEPT at most, are broadcast; rarer words that a bitmap of bounded size says may occur
+more than once meet their counts in a join (the others have log 1 = 0). The network sums position-specific embeddings of SIDE words on
 each side of the masked one, applies tanh, and predicts it by a two-level softmax (a class of
 words, then the word in the class). Every task trains a copy from one seeded start on its own
 documents, on every place of each; copies are averaged by their numbers of places, block by block, in two
@@ -26,17 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, materialize, mix, ship, span_hashes, text_slices, word_spans
+from .common import NON_SPACE, bitmap, in_bitmap, materialize, mix, ship, span_hashes, text_slices, word_spans
 
 #: The least size; side_of() gives the size for a corpus.
 GROUPS = 32
 MEMBERS = 32
 VOCABULARY = GROUPS * MEMBERS
 RARE = 64
-KEPT = 1 << 18
+KEPT = 1 << 19
+#: Bits of the filter of rarer words that occur more than once.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 SIDE = 2
 WIDTH = 32
-BATCH = 2048
+BATCH = 4096
+#: A batch moves as so many places do.
+PLACES = 64
 RATE = 0.15
 BLOCK = 16_384
 
@@ -107,6 +112,14 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _minus_softmax(z: np.ndarray) -> np.ndarray:
+    """Minus the softmax of each row, in place, with one exponential."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= -z.sum(axis=1, keepdims=True)
+    return z
+
+
 def log_p(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each word given the words around it."""
     out = np.empty(len(ids), np.float64)
@@ -136,16 +149,16 @@ def train_step(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray, ra
     ids, around = ids[order], around[order]
     n, group = len(ids), ids // members
     h = hidden(params, around)
-    dz = -np.exp(_log_softmax(h @ wg.T + bg))
+    dz = _minus_softmax(h @ wg.T + bg)
     dz[np.arange(n), group] += 1
     dh = dz @ wg
-    scale = rate / n * 32  # a batch moves as 32 places: frequent words are in many places of a batch
+    scale = rate / n * PLACES  # frequent words are in many places of a batch
     wg_step, bg_step = dz.T @ h, dz.sum(axis=0)
     ptr = np.searchsorted(group, np.arange(groups + 1))
     for g in range(groups):
         i, j = ptr[g], ptr[g + 1]
         if i < j:
-            dm = -np.exp(_log_softmax(h[i:j] @ wm[g].T + bm[g]))
+            dm = _minus_softmax(h[i:j] @ wm[g].T + bm[g])
             dm[np.arange(j - i), ids[i:j] % members] += 1
             dh[i:j] += dm @ wm[g]
             wm[g] += scale * (dm.T @ h[i:j])
@@ -199,14 +212,31 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def _top(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words, by rank."""
-    top = counts.orderBy(F.desc("n"), "word").limit(most).toPandas()
-    return top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
-
-
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None, side: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, ids) of the most frequent words; ids follow frequency ranks."""
-    h, _ = _top(counted(docs) if counts is None else counts, side * side - rare_of(side))
+    """Hashes and counts of the words above the least frequency that at most `most` words have, by rank.
+
+    The threshold comes from a histogram of the counts (a few thousand rows), so no task and not the
+    driver ever holds more than `most` words, whatever the number of partitions.
+    """
+    level = F.when(F.col("n") <= 1024, F.col("n")).otherwise(F.floor(F.log2(F.col("n") / 1024) * 64) + 1024)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()  # at most 1024 + 64 * 54 rows
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counts.where(level >= least).select("word", "n").toArrow()  # two longs a word
+    word, n = top["word"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((word, -n))
+    return word[order].view(np.uint64), n[order]
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None, side: int = GROUPS, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, ids) of the most frequent words; ids follow frequency ranks. top: words by rank, if known."""
+    h = _top(counted(docs) if counts is None else counts, KEPT)[0] if top is None else top
+    h = h[: side * side - rare_of(side)]
     order = np.argsort(h)
     return h[order], order.astype(np.int32)
 
@@ -262,24 +292,27 @@ def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray, side: int = GROUP
     return shaped(np.concatenate([np.frombuffer(x, np.float32) for x in blocks["items"]]), side)
 
 
-def score(docs: DataFrame, params: list[np.ndarray], known: np.ndarray, ids: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, params: list[np.ndarray], known: np.ndarray, ids: np.ndarray, counts: DataFrame | None = None, kept: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """doc_id, n_words, sum_logp, mean_logp, pseudo_perplexity for every row; counts are those of docs if not given."""
     counts = counted(docs) if counts is None else counts
     side = len(params[2])
     rare = rare_of(side)
-    top, top_n = _top(counts, max(KEPT, len(known)))
+    top, top_n = _top(counts, KEPT) if kept is None else kept
     in_class = np.zeros(rare, np.int64)
     # hashes are 64 bits without a sign and rare is a power of two, so the lowest bits are the class
     for c, n in counts.groupBy(F.col("word").bitwiseAND(F.lit(rare - 1)).alias("c")).agg(F.sum("n").alias("n")).collect():
         in_class[c] = n
-    np.subtract.at(in_class, (top[: len(known)] % np.uint64(rare)).astype(np.int64), top_n[: len(known)])
+    ours = np.isin(top, known)
+    np.subtract.at(in_class, (top[ours] % np.uint64(rare)).astype(np.int64), top_n[ours])
+    beyond = counts.where((F.col("n") > 1) & (F.col("n") <= int(top_n.min(initial=1 << 62))))  # all that top may lack
+    bits = bitmap(beyond, F.col("word"), LEAST_SLOTS, MOST_SLOTS)
     order = np.argsort(top)
     # of fixed size but for params, known and ids, which grow as side_of() has it
-    model = docs.sparkSession.sparkContext.broadcast((params, known, ids, top[order], np.log(top_n[order]), np.log(in_class + 1.0)))
+    model = docs.sparkSession.sparkContext.broadcast((params, known, ids, top[order], np.log(top_n[order]), np.log(in_class + 1.0), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A record for each row, with a word that is no word, and one for each rare word outside top in it."""
-        params, known, ids, top, log_n, log_class = model.value
+        """A record for each row, with a word that is no word, and one for each word in it that is outside top and may occur more than once."""
+        params, known, ids, top, log_n, log_class, bits = model.value
         uid = TaskContext.get().partitionId() << 33
         names = ["uid", "doc_id", "n_words", "sum_logp", "word", "times"]
 
@@ -300,8 +333,10 @@ def score(docs: DataFrame, params: list[np.ndarray], known: np.ndarray, ids: np.
                     k = np.minimum(np.searchsorted(top, h[at]), len(top) - 1) if len(top) else np.zeros(len(at), np.int64)
                     hit = top[k] == h[at] if len(top) else np.zeros(len(at), bool)
                     p[at[hit]] += log_n[k[hit]]
-                    of = np.repeat(np.arange(row, upto_row), np.diff(ptr))[at[~hit]]
-                    words = h[at[~hit]]
+                    far_at = at[~hit]
+                    far_at = far_at[in_bitmap(bits, (h[far_at] & np.uint64(8 * len(bits) - 1)).astype(np.int64))]
+                    of = np.repeat(np.arange(row, upto_row), np.diff(ptr))[far_at]
+                    words = h[far_at]
                     for a in range(0, len(of), 65_536):
                         yield far(uid + of[a : a + 65_536], words[a : a + 65_536])
                 upto = np.concatenate([[0.0], np.cumsum(p)])
@@ -330,5 +365,6 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     counts = counted(docs)
     side = side_of(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    known, ids = vocabulary(docs, counts, side)
-    return score(docs, train(docs, known, ids, side), known, ids, counts)
+    kept = _top(counts, KEPT)
+    known, ids = vocabulary(docs, counts, side, kept[0])
+    return score(docs, train(docs, known, ids, side), known, ids, counts, kept)

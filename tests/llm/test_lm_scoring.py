@@ -53,7 +53,7 @@ def test_step_follows_the_gradient():
             up[k][at] += 1e-4
             down[k][at] -= 1e-4
             slope = (dense_log_p(up, around, ids).mean() - dense_log_p(down, around, ids).mean()) / 2e-4
-            assert (after[k][at] - p[at]) / (rate * 32) == pytest.approx(slope, rel=0.05, abs=2e-4)
+            assert (after[k][at] - p[at]) / (rate * lm.PLACES) == pytest.approx(slope, rel=0.05, abs=2e-4)
 
 
 def test_training_raises_the_likelihood(spark):
@@ -86,6 +86,14 @@ def test_vocabulary_is_the_most_frequent_words(spark):
     assert order == [h["b"], h["a"], h["c"]]
 
 
+def test_a_threshold_keeps_no_more_than_asked(spark):
+    rows = [(k, 1 + (k < 30) * 5 + (k < 3) * 10**9 * (k + 1)) for k in range(400)]
+    counts = spark.createDataFrame(rows, "word long, n long")
+    for most, kept in ((400, 400), (399, 30), (30, 30), (29, 3), (2, 2), (0, 0)):
+        words, n = lm._top(counts, most)
+        assert len(words) == kept and list(n) == sorted(n, reverse=True)
+
+
 def test_rare_words_take_their_share_of_the_class(spark, monkeypatch):
     from termweave.llm.common import hash_words
 
@@ -124,3 +132,29 @@ def test_every_place_is_a_target(spark):
         params = lm.train(docs, known, ids)
         assert not np.array_equal(params[2], lm.start()[2])  # the word's own group rose
         assert params[2].argmax() == 0
+
+
+def test_documents_end_to_end(spark):
+    """Sums of whole documents equal a dense loop over their words, and natural texts outrank shuffled ones."""
+    r = np.random.default_rng(6)
+    after = {k: r.permutation(60)[:2] for k in range(60)}  # two words may follow each word
+    texts = []
+    for _ in range(600):
+        w = [int(r.integers(60))]
+        while len(w) < 40:
+            w.append(int(after[w[-1]][r.integers(2)]))
+        texts.append([f"w{k}" for k in w])
+    mixed = [[t[i] for i in r.permutation(40)] for t in texts[:50]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts[:50] + mixed)], "doc_id long, text string")
+    counts = lm.counted(docs)
+    known, ids = lm.vocabulary(docs, counts)
+    more = docs.unionAll(docs).unionAll(docs).unionAll(docs).unionAll(docs)  # five passes
+    params = lm.train(more.coalesce(1), known, ids)
+    got = {x.doc_id: x.sum_logp for x in lm.score(asked, params, known, ids, counts).collect()}
+    from termweave.llm.common import hash_words
+
+    for k, t in enumerate((texts[:50] + mixed)[::10]):
+        w = lm.word_ids(hash_words(t), known, ids)
+        assert got[10 * k] == pytest.approx(dense_log_p(params, lm.contexts(w, np.array([0, len(w)])), w).sum(), abs=1e-3)
+    assert np.mean([got[k] > got[50 + k] for k in range(50)]) >= 0.9
