@@ -84,3 +84,14 @@ def test_star_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 7), (1, 2), (2, 1)], "a long, b long")
     got = {r.node: r.component for r in minhash.star_components(edges).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1}
+
+
+def test_reused_ids_are_one_document(spark):
+    """Two texts of one doc_id: each keeps its own links, and neither is dropped for the other's sake."""
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(1, words("a", 60)), (1, words("b", 60)), (2, words("b", 60) + " more"), (3, words("c", 60)), (4, words("a", 60)), (5, words("d", 60)), (5, words("d", 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)}
+    kept = sorted((r.doc_id, r.text[:2]) for r in minhash.keep_one(docs).collect())
+    assert kept == [(1, "a0"), (1, "b0"), (3, "c0"), (5, "d0")]
