@@ -106,38 +106,59 @@ def hidden(params: list[np.ndarray], around: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _order(keys: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of keys in 0 .. below - 1; 16-bit keys are sorted by radix."""
+    return np.argsort(keys.astype(np.uint16) if below <= 1 << 16 else keys, kind="stable")
+
+
+def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no logit of a tanh layer can reach 60, so that its exponential needs no shift."""
+    return bool((np.abs(w).sum(axis=-1) + np.abs(b)).max() < 60)
+
+
+def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray, bounded: bool) -> np.ndarray:
+    z = h @ w.T
+    z += b
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
     return z
 
 
-def _minus_softmax(z: np.ndarray) -> np.ndarray:
-    """Minus the softmax of each row, in place, with one exponential."""
-    z -= z.max(axis=1, keepdims=True)
+def _exp_sums(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place, and the sum of each row."""
     np.exp(z, out=z)
-    z /= -z.sum(axis=1, keepdims=True)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _minus_softmax(z: np.ndarray) -> np.ndarray:
+    """Minus the softmax of each row of logits, in place, with one exponential."""
+    z *= (-1 / _exp_sums(z))[:, None]
     return z
 
 
 def log_p(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each word given the words around it."""
     out = np.empty(len(ids), np.float64)
-    groups, members = params[4].shape
+    _, wg, bg, wm, bm = params
+    groups, members = bm.shape
+    low_g, low_m = _bounded(wg, bg), _bounded(wm, bm)
     for a in range(0, len(ids), 1 << 15):
         w = ids[a : a + (1 << 15)]
-        order = np.argsort(w // members, kind="stable")
+        order = _order(w // members, groups)
         w = w[order]
         group = w // members
         h = hidden(params, around[a : a + len(w)][order])
-        z = _log_softmax(h @ params[1].T + params[2])[np.arange(len(w)), group].astype(np.float64)
+        z = _logits(h, wg, bg, low_g)
+        p = z[np.arange(len(w)), group].astype(np.float64)
+        p -= np.log(_exp_sums(z))
         ptr = np.searchsorted(group, np.arange(groups + 1))
         for g in range(groups):
             i, j = ptr[g], ptr[g + 1]
             if i < j:
-                m = _log_softmax(h[i:j] @ params[3][g].T + params[4][g])
-                z[i:j] += m[np.arange(j - i), w[i:j] % members]
-        out[a + order] = z
+                m = _logits(h[i:j], wm[g], bm[g], low_m)
+                p[i:j] += m[np.arange(j - i), w[i:j] % members]
+                p[i:j] -= np.log(_exp_sums(m))
+        out[a + order] = p
     return out
 
 
@@ -145,32 +166,40 @@ def train_step(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray, ra
     """One step of gradient ascent on the mean log probability, in place."""
     e, wg, bg, wm, bm = params
     groups, members = bm.shape
-    order = np.argsort(ids // members, kind="stable")
+    low_g, low_m = _bounded(wg, bg), _bounded(wm, bm)
+    order = _order(ids // members, groups)
     ids, around = ids[order], around[order]
-    n, group = len(ids), ids // members
+    n, group, member = len(ids), ids // members, ids % members
     h = hidden(params, around)
-    dz = _minus_softmax(h @ wg.T + bg)
+    dz = _minus_softmax(_logits(h, wg, bg, low_g))
     dz[np.arange(n), group] += 1
     dh = dz @ wg
-    scale = rate / n * PLACES  # frequent words are in many places of a batch
-    wg_step, bg_step = dz.T @ h, dz.sum(axis=0)
-    ptr = np.searchsorted(group, np.arange(groups + 1))
+    scale = np.float32(rate / n * PLACES)  # frequent words are in many places of a batch
+    ones = np.ones(n, np.float32)
+    wg_step, bg_step = dz.T @ h, ones @ dz
+    ptr = np.searchsorted(group, np.arange(groups + 1)).tolist()
+    rows = np.arange(n)
     for g in range(groups):
         i, j = ptr[g], ptr[g + 1]
         if i < j:
-            dm = _minus_softmax(h[i:j] @ wm[g].T + bm[g])
-            dm[np.arange(j - i), ids[i:j] % members] += 1
+            part = h[i:j]
+            dm = _minus_softmax(_logits(part, wm[g], bm[g], low_m))
+            dm[rows[: j - i], member[i:j]] += 1
             dh[i:j] += dm @ wm[g]
-            wm[g] += scale * (dm.T @ h[i:j])
-            bm[g] += scale * dm.sum(axis=0)
+            dm *= scale
+            wm[g] += dm.T @ part
+            bm[g] += ones[: j - i] @ dm
     wg += scale * wg_step
     bg += scale * bg_step
-    dh *= 1 - h * h
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
+    dh *= scale
     for k in range(2 * SIDE):
-        order = np.argsort(around[:, k], kind="stable")
+        order = _order(around[:, k], e.shape[1])
         words = around[order, k]
         cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        e[k][words[cut]] += scale * np.add.reduceat(dh[order], cut, axis=0)
+        e[k][words[cut]] += np.add.reduceat(dh[order], cut, axis=0)
 
 
 def _count(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,18 @@ def test_log_p_equals_dense_softmax_and_sums_to_one():
     assert np.exp(lm.log_p(params, np.repeat(around[:1], lm.VOCABULARY, axis=0), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_large_logits_do_not_overflow():
+    ids, ptr = sample()
+    params, around = [20 * x for x in lm.start()], lm.contexts(ids, ptr)
+    params[1] *= 10
+    params[3] *= 10
+    assert not lm._bounded(params[1], params[2]) and not lm._bounded(params[3], params[4])
+    got = lm.log_p(params, around, ids)
+    assert np.isfinite(got).all() and np.allclose(got, dense_log_p(params, around, ids), rtol=1e-4, atol=1e-2)
+    lm.train_step(params, around, ids, 1e-3)
+    assert all(np.isfinite(x).all() for x in params)
+
+
 def test_step_follows_the_gradient():
     ids, ptr = sample(60)
     around, rate = lm.contexts(ids, ptr), 1e-3
