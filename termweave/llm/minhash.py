@@ -42,6 +42,8 @@ BAND_ROWS = 4
 #: Signatures must agree on this share before full sets are compared: 5.6 standard deviations below 0.8.
 AGREE = 0.60
 TILE = 1024
+#: Likely pairs of a tile that are looked at between two updates of the components.
+PAIRS = 4096
 #: Bits of the id filter, of which a power of two is taken by the number of ids: 2 MB to 32 MB.
 LEAST_SLOTS, MOST_SLOTS = 1 << 24, 1 << 28
 MAX_ROUNDS = 60
@@ -275,13 +277,18 @@ def _likely_rows(members: DataFrame) -> DataFrame:
 
 
 def _tile_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components within each tile, enough to join them."""
+    """Links (a, b) between different components within each tile, enough to join them.
+
+    Likely pairs, up to TILE * TILE and more in a group of near copies, are held as arrays; those that
+    earlier links have joined already drop out a block at a time.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("doc").reset_index(drop=True)
         sig, comp = np.stack([np.frombuffer(x, np.uint16)[::2] for x in g.sig]), g.component.to_numpy()
         items, doc = g["items"].tolist(), g.doc.tolist()
-        root = {int(c): int(c) for c in comp}
+        start = np.unique(comp, return_inverse=True)[1]
+        root = np.arange(start.max() + 1)
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -289,15 +296,25 @@ def _tile_links(members: DataFrame, percent: int) -> DataFrame:
                 c = root[c]
             return c
 
-        found, out = [], []
+        first, second, share, out = [], [], [], []
         for i in range(len(g) - 1):
             j, agree = _compare(g, i, sig, comp)
-            found += zip((-agree).tolist(), [i] * len(j), j.tolist(), strict=True)
-        for _, i, j in sorted(found):
-            a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and _linked(items[i], items[j], percent):
-                root[max(a, b)] = min(a, b)
-                out.append((doc[i], doc[j]))
+            first.append(np.full(len(j), i, np.int32))
+            second.append(j.astype(np.int32))
+            share.append(agree.astype(np.float32))
+        if first:
+            order = np.argsort(-np.concatenate(share), kind="stable")  # then by row, as they come
+            first, second = np.concatenate(first)[order], np.concatenate(second)[order]
+        for at in range(0, len(first), PAIRS):
+            while (root[root] != root).any():
+                root[:] = root[root]
+            x, y = first[at : at + PAIRS], second[at : at + PAIRS]
+            apart = root[start[x]] != root[start[y]]
+            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                a, b = find(start[i]), find(start[j])
+                if a != b and _linked(items[i], items[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    out.append((doc[i], doc[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return members.groupBy(*_TILE_KEY).applyInPandas(run, "a long, b long")
