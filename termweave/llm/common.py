@@ -109,7 +109,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(kind: str, n: int) -> np.ndarray:
     """0 .. n-1 th powers, modulo 2**64; kept between calls."""
-    if len(_powers.get(kind, ())) < n:
+    if kind not in _powers or len(_powers[kind]) < n:  # a worker's first slice may have no bytes
         steps = np.full(max(n, SLICE_BYTES + 1), _MULT if kind == "up" else _INV, np.uint64)
         steps[0] = 1
         _powers[kind] = np.multiply.accumulate(steps)

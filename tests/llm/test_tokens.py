@@ -171,3 +171,12 @@ def test_words_of_tile_the_text(spark):
     texts = ["a b", "  a  b ", "", None, "x\ny", " "]
     got = [r.w for r in spark.createDataFrame([(t,) for t in texts], "t string").select(pieces.words_of(F.col("t")).alias("w")).collect()]
     assert ["".join(w) for w in got] == [pieces.SPACE + t.replace(" ", pieces.SPACE) if t else "" for t in texts]
+
+
+def test_hashes_of_no_bytes(monkeypatch):
+    """A worker whose first texts are all empty."""
+    from termweave.llm import common
+
+    monkeypatch.setattr(common, "_powers", {})
+    none = np.zeros(0, np.int64)
+    assert len(common.span_hashes(np.zeros(0, np.uint8), none, none)) == 0
