@@ -8,11 +8,12 @@
 3. In every band bucket each member is paired with one centre, the member that shares most buckets
    with others, never with all others. Pairs whose signatures agree enough are confirmed on the full
    sets.
-4. Buckets that still hold members of different components are finished exactly, in tiles of about
-   2 x TILE rows: members outside a bucket's largest component meet one another and that component,
-   whose members need not meet again. A tile first compares signatures and passes on only members
-   with a likely partner in another component; then full sets decide, and a tile emits only links
-   that join components. Rows stay near-linear in a bucket's size and no link between components is lost.
+4. Buckets whose members other than the centre, which has met them all, still are of different
+   components are finished exactly. Up to FEW members meet in pairs, each pair once however many buckets
+   it shares. More members meet in tiles of about 2 x TILE rows: those outside a bucket's largest
+   component meet one another and that component, whose members need not meet again. A tile first
+   compares signatures and passes on only members with a likely partner in another component; then full
+   sets decide, and a tile emits only links that join components. No link between components is lost.
 5. Components come from large-star / small-star rounds on the links, all as DataFrames.
 
 Cases: null or empty texts have no shingles, are linked with nothing and are their own component;
@@ -25,7 +26,7 @@ an empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,8 +43,10 @@ BAND_ROWS = 4
 #: Signatures must agree on this share before full sets are compared: 5.6 standard deviations below 0.8.
 AGREE = 0.60
 TILE = 1024
-#: Likely pairs of a tile that are looked at between two updates of the components.
-PAIRS = 4096
+#: A bucket of at most so many members beside its centre is paired in full, without tiles.
+FEW = 32
+#: Entries of the table that bounds common shingles within a tile.
+MARKS = 1 << 20
 #: Bits of the id filter, of which a power of two is taken by the number of ids: 2 MB to 32 MB.
 LEAST_SLOTS, MOST_SLOTS = 1 << 24, 1 << 28
 MAX_ROUNDS = 60
@@ -243,19 +246,19 @@ def _tile_rows(placed: DataFrame) -> DataFrame:
     return rows.select("key", "t.low", "t.high", "t.kind", "doc", "component", "block", "side")
 
 
-def _compare(g: pd.DataFrame, i: int, sig: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows j > i of another component that this tile compares with row i, their agreement)."""
-    other = comp[i + 1 :] != comp[i]
-    if g["kind"].iloc[0] == 1:
-        other &= g["side"].to_numpy()[i + 1 :] != g["side"].iloc[i]
-    elif g["low"].iloc[0] != g["high"].iloc[0]:
-        other &= g["block"].to_numpy()[i + 1 :] != g["block"].iloc[i]
-    j = i + 1 + np.flatnonzero(other)
-    agree = (sig[j] == sig[i]).mean(axis=1) if len(j) else np.zeros(0)
-    return j[agree >= AGREE], agree[agree >= AGREE]
+def _tile_pairs(g: pd.DataFrame) -> Callable[[int], np.ndarray]:
+    """For row i of a tile, which later rows of another component the tile compares with it."""
+    comp, kind = g.component.to_numpy(), g["kind"].iloc[0]
+    by = g["side"].to_numpy() if kind == 1 else g["block"].to_numpy() if g["low"].iloc[0] != g["high"].iloc[0] else None
 
+    def of(i: int) -> np.ndarray:
+        other = comp[i + 1 :] != comp[i]
+        return other if by is None else other & (by[i + 1 :] != by[i])
 
-_ROW = "key long, low int, high int, kind int, doc long, component long, block int, side int, sig binary"
+    return of
+
+
+_ROW = "key long, low int, high int, kind int, doc long, component long, block int, side int"
 
 
 def _likely_rows(members: DataFrame) -> DataFrame:
@@ -263,63 +266,59 @@ def _likely_rows(members: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.reset_index(drop=True)
-        sig, comp = np.stack([np.frombuffer(x, np.uint16)[::2] for x in g.sig]), g.component.to_numpy()
+        sig, of = np.stack([np.frombuffer(x, np.uint16)[::2] for x in g.sig]), _tile_pairs(g)
         ok = np.zeros(len(g), bool)
         for i in range(len(g) - 1):
-            j, _ = _compare(g, i, sig, comp)
+            j = i + 1 + np.flatnonzero(of(i))
+            j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= AGREE * sig.shape[1]]
             if len(j):
                 ok[i] = True
                 ok[j] = True
-        return g[ok]
+        return g.loc[ok, columns]
 
     columns = [x.split()[0] for x in _ROW.split(", ")]
-    return members.select(*columns).groupBy(*_TILE_KEY).applyInPandas(run, _ROW)
+    return members.select(*columns, "sig").groupBy(*_TILE_KEY).applyInPandas(run, _ROW)
 
 
 def _tile_links(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components within each tile, enough to join them.
 
-    Likely pairs, up to TILE * TILE and more in a group of near copies, are held as arrays; those that
-    earlier links have joined already drop out a block at a time.
+    A row meets all its partners at once: a table of MARKS low bits of its hashes gives each of them a
+    number of common shingles that is never too small, and only pairs that it lets through, of rows
+    that earlier links have not joined, are compared in full.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("doc").reset_index(drop=True)
-        sig, comp = np.stack([np.frombuffer(x, np.uint16)[::2] for x in g.sig]), g.component.to_numpy()
-        items, doc = g["items"].tolist(), g.doc.tolist()
-        start = np.unique(comp, return_inverse=True)[1]
-        root = np.arange(start.max() + 1)
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        first, second, share, out = [], [], [], []
+        items, doc, of = g["items"].tolist(), g.doc.tolist(), _tile_pairs(g)
+        label = g.component.to_numpy().copy()
+        codes = [(np.frombuffer(x, np.uint64) & np.uint64(MARKS - 1)).astype(np.uint32) for x in items]
+        n = np.array([len(x) for x in codes])
+        table, out = np.zeros(MARKS, bool), []
         for i in range(len(g) - 1):
-            j, agree = _compare(g, i, sig, comp)
-            first.append(np.full(len(j), i, np.int32))
-            second.append(j.astype(np.int32))
-            share.append(agree.astype(np.float32))
-        if first:
-            order = np.argsort(-np.concatenate(share), kind="stable")  # then by row, as they come
-            first, second = np.concatenate(first)[order], np.concatenate(second)[order]
-        for at in range(0, len(first), PAIRS):
-            while (root[root] != root).any():
-                root[:] = root[root]
-            x, y = first[at : at + PAIRS], second[at : at + PAIRS]
-            apart = root[start[x]] != root[start[y]]
-            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-                a, b = find(start[i]), find(start[j])
-                if a != b and _linked(items[i], items[j], percent):
-                    root[max(a, b)] = min(a, b)
-                    out.append((doc[i], doc[j]))
+            m = n[i + 1 :]
+            partners = i + 1 + np.flatnonzero(of(i) & (label[i + 1 :] != label[i]) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)))
+            table[codes[i]] = True
+            for at in range(0, len(partners), 256):
+                j = partners[at : at + 256]
+                both = np.add.reduceat(table[np.concatenate([codes[k] for k in j])], np.concatenate([[0], np.cumsum(n[j])[:-1]]), dtype=np.int64)
+                for k in j[100 * both >= percent * (n[i] + n[j] - both)].tolist():
+                    if label[k] != label[i] and _linked(items[i], items[k], percent):
+                        label[label == label[k]] = label[i]
+                        out.append((doc[i], doc[k]))
+            table[codes[i]] = False
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return members.groupBy(*_TILE_KEY).applyInPandas(run, "a long, b long")
 
 
+def _few_pairs(few: DataFrame) -> DataFrame:
+    """(a, b), a > b: members (key, doc, component) of one bucket that are of different components, each pair once."""
+    both = few.groupBy("key").agg(F.collect_list(F.struct("doc", "component")).alias("m"))  # FEW members at most
+    of = lambda x, m: F.transform(F.filter(m, lambda y: (y.doc < x.doc) & (y.component != x.component)), lambda y: F.struct(x.doc.alias("a"), y.doc.alias("b")))
+    return both.select(F.explode(F.flatten(F.transform("m", lambda x: of(x, F.col("m"))))).alias("p")).select("p.a", "p.b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; see the module's text."""
     ship(docs.sparkSession)
@@ -339,7 +338,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     social = crowd.groupBy("doc").agg(F.sum("size").alias("degree"))
     centres = crowd.join(social, "doc").groupBy("key").agg(F.max(F.struct("degree", "doc")).alias("c")).select("key", F.col("c.doc").alias("centre"))
     signed = materialize(reps.join(social.select(F.col("doc").alias("node")), "node", "left_semi"), "signed")
-    pairs = crowd.join(centres, "key").where("doc <> centre").select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
+    others = materialize(crowd.join(centres, "key").where("doc <> centre").select("key", "doc", "centre", "size"), "others")
+    pairs = others.select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
     likely = materialize(_keep_pairs(_with_both(pairs, signed, "node", "sig"), "sig", percent), "likely")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -349,18 +349,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = materialize(_keep_pairs(_with_both(likely, materialize(sets_of(ids), "sets"), "node", "items"), "set", percent), "links")
     stars = materialize(star_components(links), "components")
 
-    # buckets of more than one component, each set of members once
-    at = crowd.join(stars.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    # buckets of more than one component beside the centre, whose pairs are all decided; each set of members once
+    at = others.where("size > 2").join(stars.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     at = materialize(at, "placed")
     mark = F.struct(F.sum(F.xxhash64("doc").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("doc", F.lit(1))), F.count("*"))
-    open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark")).where("lo <> hi")
-    open_ = open_.groupBy("mark").agg(F.min("key").alias("key")).select("key")
-    opened = materialize(at.join(open_, "key", "left_semi"), "open")
+    open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), mark.alias("mark"), F.count("*").alias("members")).where("lo <> hi")
+    open_ = open_.groupBy("mark").agg(F.min("key").alias("key"), F.first("members").alias("members")).select("key", "members")
+    opened = materialize(at.join(open_, "key"), "open")
     found = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
     if not opened.isEmpty():  # else no bucket has members of two components
-        tiles = _tile_rows(opened)
+        fresh = _few_pairs(opened.where(F.col("members") <= FEW)).join(likely, ["a", "b"], "left_anti")
+        near = materialize(_keep_pairs(_with_both(fresh, signed, "node", "sig"), "sig", percent), "near")
+        tiles = _tile_rows(opened.where(F.col("members") > FEW).drop("members"))
         some = materialize(_likely_rows(tiles.join(signed.select(F.col("node").alias("doc"), "sig"), "doc")), "some")
-        items = materialize(sets_of(some.select(F.col("doc").alias("node")).distinct()), "opensets")
+        ids = near.select(F.col("a").alias("node")).union(near.select("b")).union(some.select("doc")).distinct()
+        items = materialize(sets_of(ids), "opensets")
+        found = found.unionByName(materialize(_keep_pairs(_with_both(near, items, "node", "items"), "set", percent), "few"))
         found = found.unionByName(materialize(_tile_links(some.join(items.withColumnRenamed("node", "doc"), "doc"), percent), "more"))
     # the classes of one id are one document
     final = star_components(found.unionByName(classes.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))))

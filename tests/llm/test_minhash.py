@@ -95,3 +95,51 @@ def test_reused_ids_are_one_document(spark):
     assert got == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)}
     kept = sorted((r.doc_id, r.text[:2]) for r in minhash.keep_one(docs).collect())
     assert kept == [(1, "a0"), (1, "b0"), (3, "c0"), (5, "d0")]
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_tiles_equal_brute_force(spark, monkeypatch, tile):
+    """Every open bucket goes through tiles."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "FEW", 1)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4, 80).collect()}
+    assert got == components(rows, 4, 80)
+
+
+def near_copies(n):
+    """n texts of 100 words, 0 to 9 of them changed: some are linked with many, some with none."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(10)):
+            w[r.randrange(100)] = f"x{r.randrange(40)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_large_group_of_near_copies(spark):
+    rows = near_copies(500)
+    want = components(rows, 4, 80)
+    assert 1 < len({c for _, c in want.values()}) < 400
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == want
+
+
+def test_pairs_that_were_compared_meet_no_more(spark, monkeypatch):
+    """Buckets of two texts under 80 percent are decided by their one comparison, larger small ones in pairs, not in tiles."""
+    seen, tiles = [], minhash._tile_rows
+    monkeypatch.setattr(minhash, "_tile_rows", lambda placed: seen.append(placed.count()) or tiles(placed))
+    r = random.Random(4)
+    rows = []
+    for k in range(0, 200, 2):
+        w = [f"a{r.randrange(10**6)}" for _ in range(60)]
+        rows += [(k, " ".join(w)), (k + 1, " ".join([*w[:52], *(f"b{r.randrange(10**6)}" for _ in range(8))]))]  # 49 shingles of 65
+    rows += [(1000 + i, t) for i, t in near_copies(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs, 4, 80).collect()}
+    assert got == components(rows, 4, 80) and all(got[k][1] == k for k in range(200))
+    assert sum(seen) == 0
