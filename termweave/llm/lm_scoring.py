@@ -19,6 +19,7 @@ rows; extra columns are not read; a null doc_id stays null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,10 @@ LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 SIDE = 2
 WIDTH = 32
 BATCH = 4096
+#: Places scored at once: their logits stay in a core's cache.
+AT_ONCE = 1 << 13
+#: Rows of one word that a step adds one by one, all words together; a word's further rows are added in a loop of their own.
+ROUNDS = 8
 #: A batch moves as so many places do.
 PLACES = 64
 RATE = 0.15
@@ -75,14 +80,31 @@ def shaped(values: np.ndarray, side: int = GROUPS) -> list[np.ndarray]:
     return [x.reshape(s) for x, s in zip(np.split(values, ends[:-1]), _shapes(side), strict=True)]
 
 
-def word_ids(h: np.ndarray, known: np.ndarray, ids: np.ndarray, side: int = GROUPS) -> np.ndarray:
-    """Vocabulary ids of word hashes; known is sorted. Rare words take one of the last ids."""
+def starts_of(known: np.ndarray) -> np.ndarray:
+    """Where hashes with each value of their highest bits begin in known, which is sorted; two to four values a hash."""
+    bits = len(known).bit_length() + 1
+    return np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+
+
+def find(h: np.ndarray, known: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in known, whether the hash is there): as a binary search, but in one or two steps, as hashes are spread evenly."""
+    last = len(known) - 1
+    if last < 0:
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(starts[(h >> np.uint64(65 - len(starts).bit_length())).astype(np.int64)], last)
+    below = np.flatnonzero((known[at] < h) & (at < last))
+    while len(below):
+        at[below] += 1
+        below = below[(known[at[below]] < h[below]) & (at[below] < last)]
+    return at, known[at] == h
+
+
+def word_ids(h: np.ndarray, known: np.ndarray, ids: np.ndarray, side: int = GROUPS, starts: np.ndarray | None = None) -> np.ndarray:
+    """Vocabulary ids of word hashes; known is sorted, and starts are starts_of(known). Rare words take one of the last ids."""
     rare = rare_of(side)
     out = (side * side - rare + (h % np.uint64(rare)).astype(np.int64)).astype(np.int32)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        out[hit] = ids[at[hit]]
+    at, hit = find(h, known, starts_of(known) if starts is None else starts)
+    out[hit] = ids[at[hit]]
     return out
 
 
@@ -100,9 +122,10 @@ def contexts(ids: np.ndarray, ptr: np.ndarray, side: int = GROUPS) -> np.ndarray
 
 def hidden(params: list[np.ndarray], around: np.ndarray) -> np.ndarray:
     e = params[0]
-    h = e[0][around[:, 0]]
+    h = e[0].take(around[:, 0], axis=0)
+    row = np.empty_like(h)
     for k in range(1, 2 * SIDE):
-        h += e[k][around[:, k]]
+        h += e[k].take(around[:, k], axis=0, out=row, mode="clip")  # the other modes copy what they put out
     return np.tanh(h, out=h)
 
 
@@ -113,7 +136,9 @@ def _order(keys: np.ndarray, below: int) -> np.ndarray:
 
 def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
     """Whether no logit of a tanh layer can reach 60, so that its exponential needs no shift."""
-    return bool((np.abs(w).sum(axis=-1) + np.abs(b)).max() < 60)
+    if max(w.max(), -w.min()) * w.shape[-1] + np.abs(b).max() < 60:  # the cheaper test
+        return True
+    return bool((np.abs(w) @ np.ones(w.shape[-1], w.dtype) + np.abs(b)).max() < 60)
 
 
 def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray, bounded: bool) -> np.ndarray:
@@ -136,30 +161,62 @@ def _minus_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _member_logits(h: np.ndarray, wm: np.ndarray, bm: np.ndarray, ptr: list[int], bounded: bool) -> np.ndarray:
+    """Logits of each row's own group; rows ptr[g] to ptr[g + 1] are of group g."""
+    z = np.empty((len(h), bm.shape[1]), h.dtype)
+    for g, (i, j) in enumerate(pairwise(ptr)):
+        if i < j:
+            np.matmul(h[i:j], wm[g].T, out=z[i:j])
+            z[i:j] += bm[g]
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
 def log_p(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each word given the words around it."""
-    out = np.empty(len(ids), np.float64)
     _, wg, bg, wm, bm = params
     groups, members = bm.shape
     low_g, low_m = _bounded(wg, bg), _bounded(wm, bm)
-    for a in range(0, len(ids), 1 << 15):
-        w = ids[a : a + (1 << 15)]
+
+    def piece(around: np.ndarray, w: np.ndarray) -> np.ndarray:
         order = _order(w // members, groups)
         w = w[order]
-        group = w // members
-        h = hidden(params, around[a : a + len(w)][order])
-        z = _logits(h, wg, bg, low_g)
-        p = z[np.arange(len(w)), group].astype(np.float64)
-        p -= np.log(_exp_sums(z))
-        ptr = np.searchsorted(group, np.arange(groups + 1))
-        for g in range(groups):
-            i, j = ptr[g], ptr[g + 1]
-            if i < j:
-                m = _logits(h[i:j], wm[g], bm[g], low_m)
-                p[i:j] += m[np.arange(j - i), w[i:j] % members]
-                p[i:j] -= np.log(_exp_sums(m))
-        out[a + order] = p
-    return out
+        group, rows = w // members, np.arange(len(w))
+        h = hidden(params, around.take(order, axis=0))
+        ptr = np.searchsorted(group, np.arange(groups + 1)).tolist()
+        z, m = _logits(h, wg, bg, low_g), _member_logits(h, wm, bm, ptr, low_m)
+        p = z[rows, group].astype(np.float64) + m[rows, w % members]
+        out = np.empty(len(w), np.float64)
+        out[order] = p - np.log(_exp_sums(z).astype(np.float64)) - np.log(_exp_sums(m).astype(np.float64))
+        return out
+
+    return np.concatenate([np.zeros(0), *(piece(around[a : a + AT_ONCE], ids[a : a + AT_ONCE]) for a in range(0, len(ids), AT_ONCE))])
+
+
+def _add_rows(tables: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """tables[k][at[:, k]] += rows for each k, where at may repeat; rows of one place are summed first."""
+    many, places, width = tables.shape
+    table = tables.reshape(-1, width, copy=False)
+    orders = [_order(at[:, k], places) for k in range(many)]
+    source = np.concatenate(orders)
+    at = np.concatenate([at[order, k] + k * places for k, order in enumerate(orders)])
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+    size, cut = cut[1:] - cut[:-1], cut[:-1]
+    by = np.argsort(-np.minimum(size, ROUNDS + 1).astype(np.int8), kind="stable")  # the most repeated first
+    size, cut = size[by], cut[by]
+    sums = rows.take(source[cut], axis=0)
+    for r in range(1, ROUNDS):
+        upto = np.count_nonzero(size > r)
+        sums[:upto] += rows.take(source[cut[:upto] + r], axis=0)
+    upto = np.count_nonzero(size > ROUNDS)
+    if upto:
+        left = size[:upto] - ROUNDS
+        first = np.cumsum(left) - left
+        more = rows.take(source[np.arange(left.sum()) + np.repeat(cut[:upto] + ROUNDS - first, left)], axis=0)
+        # two floats at a time, as a complex number
+        sums[:upto] += np.add.reduceat(more.view(np.complex64), first, axis=0).view(np.float32)
+    table[at[cut]] += sums
 
 
 def train_step(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray, rate: float) -> None:
@@ -168,38 +225,31 @@ def train_step(params: list[np.ndarray], around: np.ndarray, ids: np.ndarray, ra
     groups, members = bm.shape
     low_g, low_m = _bounded(wg, bg), _bounded(wm, bm)
     order = _order(ids // members, groups)
-    ids, around = ids[order], around[order]
-    n, group, member = len(ids), ids // members, ids % members
+    ids, around = ids[order], around.take(order, axis=0)
+    n, group = len(ids), ids // members
+    rows = np.arange(n)
+    ptr = np.searchsorted(group, np.arange(groups + 1)).tolist()
     h = hidden(params, around)
+    scale = np.float32(rate / n * PLACES)  # frequent words are in many places of a batch
+    scales, step = np.full(n, scale), h * scale
     dz = _minus_softmax(_logits(h, wg, bg, low_g))
-    dz[np.arange(n), group] += 1
+    dz.reshape(-1)[rows * groups + group] += 1
     dh = dz @ wg
-    scale = np.float32(rate / n * PLACES)  # frequent words are in many places of a batch
-    ones = np.ones(n, np.float32)
-    wg_step, bg_step = dz.T @ h, ones @ dz
-    ptr = np.searchsorted(group, np.arange(groups + 1)).tolist()
-    rows = np.arange(n)
-    for g in range(groups):
-        i, j = ptr[g], ptr[g + 1]
+    wg += dz.T @ step
+    bg += scales @ dz
+    dm = _minus_softmax(_member_logits(h, wm, bm, ptr, low_m))
+    dm.reshape(-1)[rows * members + ids % members] += 1
+    for g, (i, j) in enumerate(pairwise(ptr)):
         if i < j:
-            part = h[i:j]
-            dm = _minus_softmax(_logits(part, wm[g], bm[g], low_m))
-            dm[rows[: j - i], member[i:j]] += 1
-            dh[i:j] += dm @ wm[g]
-            dm *= scale
-            wm[g] += dm.T @ part
-            bm[g] += ones[: j - i] @ dm
-    wg += scale * wg_step
-    bg += scale * bg_step
+            part = dm[i:j]
+            dh[i:j] += part @ wm[g]
+            wm[g] += part.T @ step[i:j]
+            bm[g] += scales[: j - i] @ part
     h *= h
     np.subtract(1, h, out=h)
     dh *= h
     dh *= scale
-    for k in range(2 * SIDE):
-        order = _order(around[:, k], e.shape[1])
-        words = around[order, k]
-        cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        e[k][words[cut]] += np.add.reduceat(dh[order], cut, axis=0)
+    _add_rows(e, around, dh)
 
 
 def _count(docs: DataFrame) -> DataFrame:
@@ -274,7 +324,7 @@ def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray, side: int = GROUP
     """Parameters averaged over the tasks; see the module's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        params, seen = start(side), 0
+        params, starts, seen = start(side), starts_of(known), 0
         wait: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
@@ -283,13 +333,13 @@ def train(docs: DataFrame, known: np.ndarray, ids: np.ndarray, side: int = GROUP
             mixed = np.random.default_rng(len(w)).permutation(len(w))
             for a in range(0, len(w), BATCH):
                 at = mixed[a : a + BATCH]
-                train_step(params, around[at], w[at], RATE)
+                train_step(params, around.take(at, axis=0), w.take(at), RATE)
 
         for b in batches:
             for _, _, buf, offsets in text_slices(b.column(0)):
                 s, e, ptr = word_spans(buf, offsets, NON_SPACE)
                 h = span_hashes(buf, s, e)
-                w = word_ids(h, known, ids, side)
+                w = word_ids(h, known, ids, side, starts)
                 wait.append((contexts(w, ptr, side), w))
                 waiting += len(w)
                 seen += len(w)
@@ -342,6 +392,7 @@ def score(docs: DataFrame, params: list[np.ndarray], known: np.ndarray, ids: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A record for each row, with a word that is no word, and one for each word in it that is outside top and may occur more than once."""
         params, known, ids, top, log_n, log_class, bits = model.value
+        starts, top_starts = starts_of(known), starts_of(top)
         uid = TaskContext.get().partitionId() << 33
         names = ["uid", "doc_id", "n_words", "sum_logp", "word", "times"]
 
@@ -354,13 +405,12 @@ def score(docs: DataFrame, params: list[np.ndarray], known: np.ndarray, ids: np.
             for row, upto_row, buf, offsets in text_slices(b.column(1)):
                 s, e, ptr = word_spans(buf, offsets, NON_SPACE)
                 h = span_hashes(buf, s, e)
-                w = word_ids(h, known, ids, side)
+                w = word_ids(h, known, ids, side, starts)
                 p = log_p(params, contexts(w, ptr, side), w)
                 at = np.flatnonzero(w >= side * side - rare)
                 if len(at):
                     p[at] -= log_class[w[at] - (side * side - rare)]
-                    k = np.minimum(np.searchsorted(top, h[at]), len(top) - 1) if len(top) else np.zeros(len(at), np.int64)
-                    hit = top[k] == h[at] if len(top) else np.zeros(len(at), bool)
+                    k, hit = find(h[at], top, top_starts)
                     p[at[hit]] += log_n[k[hit]]
                     far_at = at[~hit]
                     far_at = far_at[in_bitmap(bits, (h[far_at] & np.uint64(8 * len(bits) - 1)).astype(np.int64))]

@@ -170,3 +170,41 @@ def test_documents_end_to_end(spark):
         w = lm.word_ids(hash_words(t), known, ids)
         assert got[10 * k] == pytest.approx(dense_log_p(params, lm.contexts(w, np.array([0, len(w)])), w).sum(), abs=1e-3)
     assert np.mean([got[k] > got[50 + k] for k in range(50)]) >= 0.9
+
+
+def test_logits_held_at_once_stay_small():
+    """Scoring many places at a large vocabulary works through its logits in pieces of a core's cache."""
+    import tracemalloc
+
+    side = 110
+    r = np.random.default_rng(3)
+    ids = (side * side * r.random(40_000) ** 3).astype(np.int32)
+    around, params = lm.contexts(ids, np.array([0, len(ids)]), side), lm.start(side)
+    tracemalloc.start()
+    lm.log_p(params, around, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+
+
+def test_find_equals_binary_search():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 1000, 70_000):
+        known = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        h = np.concatenate([known, r.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, hit = lm.find(h, known, lm.starts_of(known))
+        assert (hit == np.isin(h, known)).all() and (known[at[hit]] == h[hit]).all()
+    crowded = np.arange(500, dtype=np.uint64)  # not spread evenly: slower, but right
+    at, hit = lm.find(crowded[::-1], crowded, lm.starts_of(crowded))
+    assert hit.all() and (at == np.arange(500)[::-1]).all()
+
+
+def test_rows_of_one_place_add_up():
+    r = np.random.default_rng(7)
+    for at in (np.zeros((50, 2), np.int32), np.stack([np.arange(50), np.arange(50)[::-1]], 1).astype(np.int32), r.integers(0, 20, (50, 2)).astype(np.int32), np.minimum(r.geometric(0.1, (50, 2)), 59).astype(np.int32)):
+        tables, rows = r.standard_normal((2, 60, 32)).astype(np.float32), r.standard_normal((50, 32)).astype(np.float32)
+        want = tables.astype(np.float64)
+        for k in range(2):
+            np.add.at(want[k], at[:, k], rows.astype(np.float64))
+        lm._add_rows(tables, at, rows)
+        assert np.allclose(tables, want, atol=1e-5)
