@@ -1,7 +1,8 @@
 """From raw documents to training sequences: the stages of the corpus pipeline.
 
 Every stage function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result
-to the session's shared folder and hands the reread table to the next stage.
+to the session's shared folder and hands the reread table to the next stage. Each stage bounds the
+session's Arrow batches, which hold whole texts, in bytes.
 """
 
 from __future__ import annotations
@@ -9,26 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termweave.llm import minhash, packing, quality, toxicity
-from termweave.llm.common import materialize
+from termweave.llm.common import bound_batches, materialize
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxic passages give a score of 0.5 or more."""
+    bound_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the rule ensemble scores under 0.7."""
+    bound_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each near-duplicate group (five-word shingles, 80 percent)."""
+    bound_batches(spark)
     return minhash.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 1024 tokens; one row per piece."""
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -20,6 +20,8 @@ from ..sources.workspace import mark, materialize, new_path, release, shared_dir
 
 #: Bytes of text that a kernel works on at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 19
+#: An Arrow batch between the JVM and a Python worker ends with the row that reaches so many bytes.
+BATCH_BYTES = 1 << 21
 
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -37,6 +39,16 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold this session's Arrow batches to BATCH_BYTES, or to its own lower limit.
+
+    By default a batch ends at 10,000 rows or 64 MB, which the JVM's buffers and the worker each hold a few
+    times over. The limit counts when a plan runs, so it stays set: what the operators return runs later.
+    """
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def bitmap(rows: DataFrame, hashed: Column, least: int, most: int) -> np.ndarray:
     """A one-hash Bloom filter of a long column: bit (hash modulo size) is set; about 16 bits a row, within least and most (powers of two)."""
     slots = min(most, max(least, 1 << (16 * rows.count()).bit_length()))

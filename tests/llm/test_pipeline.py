@@ -1,7 +1,10 @@
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from termweave.llm import packing, quality, toxicity
+from termweave.llm.common import BATCH_BYTES, bound_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +35,36 @@ def test_stages_work_on_what_is_kept(spark):
     assert sorted(r.doc_id for r in rows.select("doc_id").distinct().collect()) == sorted(r.doc_id for r in before.collect())
     per = rows.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
     assert per.where("n <> m").count() == 0
+
+
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def largest_batch(docs):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    return docs.mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_batches_of_each_stage_are_bounded_in_bytes(spark, name, stage):
+    text = F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("some plain words "), 6_000))  # 102 kB
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), text.alias("text")).coalesce(1)
+    spark.conf.unset(LIMIT)
+    assert largest_batch(docs) > 4 * BATCH_BYTES
+    try:
+        stage(spark, docs, SF)
+        assert largest_batch(docs) < BATCH_BYTES + 200_000  # the row that fills a batch is in it
+    finally:
+        spark.conf.unset(LIMIT)
+
+
+def test_a_lower_limit_of_the_session_stays(spark):
+    try:
+        spark.conf.set(LIMIT, "64k")
+        bound_batches(spark)
+        assert spark.conf.get(LIMIT) == "64k"
+    finally:
+        spark.conf.unset(LIMIT)
