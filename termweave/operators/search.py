@@ -61,13 +61,14 @@ def _query_terms(index: Index, c: Clause) -> list[str]:
     found = [c.value] if kind == "keyword" else analysis.analyze_query(c.value, kind)
     if c.fuzziness and kind != "keyword":
         known = {r.term for r in index.postings.where((F.col("field") == c.field) & F.col("term").isin(found)).select("term").distinct().collect()}  # at most the query's terms
-        found = [t if t in known or len(t.encode()) < 3 else _corrected(index, c.field, t) for t in found]
+        found = [t if t in known or len(t.encode()) < 3 else _corrected(index, c.field, t, c.fuzziness) for t in found]
     return found
 
 
-def _corrected(index: Index, name: str, term: str) -> str:
-    """The candidate of highest DF among five, or the term itself."""
-    best = terms.fuzzy(index.term_stats, name, term, auto_distance(term)).limit(5).orderBy(F.desc("df"), "term").first() if auto_distance(term) else None
+def _corrected(index: Index, name: str, term: str, fuzziness: int) -> str:
+    """The candidate of highest DF, or the term itself; fuzziness is the largest distance asked for, and a short term allows less."""
+    distance = min(fuzziness, auto_distance(term))
+    best = terms.fuzzy(index.term_stats, name, term, distance, 1).first() if distance else None
     return best.term if best else term
 
 
