@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def decay(distance: Column, kind: str = "log") -> Column:
     return {"log": 1.0 / F.log2(1.0 + d), "linear": 1.0 / d, "quadratic": 1.0 / (d * d)}[kind]
 
 
+def decay_values(window: int, kind: str = "log") -> list[float]:
+    """decay() of the distances 1 to window."""
+    return [{"log": 1.0 / math.log2(1.0 + d), "linear": 1.0 / d, "quadratic": 1.0 / (d * d)}[kind] for d in range(1, window + 1)]
+
+
 def npmi_weight(count: Column, df_a: Column, df_b: Column, n: Column, mean: Column) -> Column:
     """Normalised pointwise mutual information times (1 + mean decay), within 0 and 1."""
     p = count / n

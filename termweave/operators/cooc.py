@@ -1,7 +1,8 @@
 """Co-occurring terms: positional pairs within sentences, and weighted edges.
 
-row_pairs makes the pairs of a sentence inside its row; pair_rows does it for token rows, through a
-join on blocks of places.
+document_pairs counts pairs on arrays of term ids (functions.kernels): a task sums millions of pairs at
+a time and sends them packed, a pair's sums meet in its bucket. row_pairs makes the pairs of a sentence
+inside its row; pair_rows does it for token rows, through a join on blocks of places.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import analysis, scoring
+from ..functions import analysis, kernels, scoring
 from .index import Spec, sharded
 
 
@@ -56,18 +57,40 @@ def document_rows(docs: DataFrame, spec: Spec, window: int, decay: str = "log",
     return _union(parts)
 
 
-def document_pairs(docs: DataFrame, spec: Spec, window: int, decay: str = "log", fields: tuple[str, ...] = ()) -> DataFrame:
-    """Pair sums over documents; words are summed before they are stemmed, so the stemmer sees few pairs."""
+#: Bytes of text, times the window, whose pairs share a bucket: about two million sums before they meet.
+BUCKET_BYTES = 35 << 20
+
+
+def document_pairs(docs: DataFrame, spec: Spec, window: int, decay: str = "log", fields: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """Pair sums over documents, of pairs met `least` times or more; there are as many buckets as the length of the texts needs."""
     parts = []
     for f in spec.planned():
         if f.kind != "text" or fields and f.name not in fields:
             continue
-        name = spec.analyzer_of(f)
-        rows = sharded(docs, spec).select("shard_id", F.lit(f.name).alias("field"), F.col(f.name).cast("string").alias("value"))
-        found = pairs(row_pairs(analysis.sentence_rows(rows, "value", ("shard_id", "field"), name), window, decay))
-        if name != "simple":
-            found = _restemmed(found, name).groupBy("shard_id", "field", "term_a", "term_b").agg(F.sum("cnt").alias("cnt"), F.sum("wsum").alias("wsum"))
-        parts.append(found)
+        name, value = spec.analyzer_of(f), F.col(f.name).cast("string")
+        if window > kernels.MOST_WINDOW:  # a distance would not fit beside two terms
+            found = pairs(document_rows(docs, spec, window, decay, (f.name,)))
+            parts.append(found.where(F.col("cnt") >= least) if least > 1 else found)
+            continue
+        rows = sharded(docs, spec).select("shard_id", analysis.items(value, name, ends=True).alias("items"))
+        size = docs.agg(F.sum(F.octet_length(value))).first()[0] or 0
+        buckets = max(1, min(1 << 16, -(-size * window // BUCKET_BYTES)))
+        weights = scoring.decay_values(window, decay)
+        sent = rows.mapInArrow(kernels.pair_parts(name, window, weights, buckets), "bucket int, payload binary")
+        found = sent.groupBy("bucket").applyInArrow(kernels.pair_sums(weights, least), "shard_id string, term_a string, term_b string, cnt bigint, wsum double")
+        parts.append(found.select("shard_id", F.lit(f.name).alias("field"), "term_a", "term_b", "cnt", "wsum"))
+    return _union(parts)
+
+
+def window_counts(docs: DataFrame, spec: Spec, window: int) -> DataFrame:
+    """shard_id, field, doc_id, n: the pairs of each document that has any, equal terms left out."""
+    parts, kind = [], docs.schema[spec.key].dataType.simpleString()
+    for f in spec.planned():
+        if f.kind == "text":
+            name = spec.analyzer_of(f)
+            rows = sharded(docs, spec).select("shard_id", F.col(spec.key).alias("doc_id"), analysis.items(F.col(f.name).cast("string"), name, ends=True).alias("items"))
+            found = rows.mapInArrow(kernels.window_counts(name, window), f"shard_id string, doc_id {kind}, n bigint")
+            parts.append(found.groupBy("shard_id", "doc_id").agg(F.sum("n").alias("n")).select("shard_id", F.lit(f.name).alias("field"), "doc_id", "n"))
     return _union(parts)
 
 
