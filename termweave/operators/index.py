@@ -1,15 +1,14 @@
 """Documents to a positional inverted index with per-shard statistics.
 
 postings: shard_id, field, term, doc_id, tf, doc_len (distinct terms of the field), positions
-sorted. A text is cut into words once, and its words are grouped into postings inside its own row
-(sort, run starts, slices; linear but for the sort), so plain fields need no shuffle at all. The
-standard analyzer stems the grouped words in generated code and merges words of one stem in one
-shuffle by document. Statistics come from the postings. The last row of a doc_id wins when documents
-are appended (latest). No filter may stand on a column derived from a text's words, nor may such a column
-be exploded by name: the optimizer would push the filter down and cut the text again for every word.
-
-A stored index (write, read) is partitioned by shard and sorted by field and term, so a query reads
-the row groups of its terms only; rebalancing splits terms that a large share of the documents hold.
+sorted. The JVM cuts a text into words once; functions.kernels groups the words of a run of texts into
+postings on arrays of ids, so no field needs a shuffle. DFs are counted the same way, without postings.
+The last row of a doc_id wins when documents are appended (latest). In plans of token rows no filter may
+stand on a column derived from a text's words, nor may such a column be exploded by name: the optimizer
+would push the filter down and cut the text again for every word.
+
+A stored index (write, read) is partitioned by shard and consists of segments: every task writes its runs, each
+sorted by field and term, so a query reads the pages of its terms in every run only, and writing moves no row.
 """
 
 from __future__ import annotations
@@ -19,10 +18,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import analysis
+from ..functions import analysis, kernels
 from .sharding import Sharding, shard_key
 
 
+#: Shards for which a task holds a file open at once; rows of more shards are sorted by shard first.
+OPEN_SHARDS = 32
+
+
 @dataclass(frozen=True)
 class Field:
     """A mapped field: text, keyword, integer or date."""
@@ -55,14 +58,10 @@ class Spec:
         return [f for f in self.fields if f.indexed and f.kind in ("text", "keyword", "integer")]
 
 
-def field_tokens(f: Field, spec: Spec) -> Column:
-    """array<struct<term, position>> of a field, unstemmed; keywords and integers are one literal term at 0."""
+def _value(f: Field, spec: Spec) -> Column:
+    """A field as text; keywords in lower case if the index has them so."""
     value = F.col(f.name).cast("string")
-    if f.kind == "text":
-        return analysis.word_tokens(value, spec.analyzer_of(f))
-    literal = F.lower(value) if spec.lower_keywords and f.kind == "keyword" else value
-    one = F.array(F.struct(literal.alias("term"), F.lit(0).alias("position")))
-    return F.when(value.isNotNull(), one).otherwise(F.array().cast("array<struct<term:string,position:int>>"))
+    return F.lower(value) if spec.lower_keywords and f.kind == "keyword" else value
 
 
 def sharded(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -90,8 +89,8 @@ def tokens(docs: DataFrame, spec: Spec, fields: tuple[str, ...] = ()) -> DataFra
             x = analysis.sentence_rows(x, "value", keep, name).select(*keep, "sentence", F.explode(F.transform("tokens", lambda t: t)).alias("t"))
             x = analysis.stemmed(x.select(*keep, F.col("t.term").alias("term"), F.col("t.position").alias("position"), "sentence"), "term", name)
         else:
-            literal = F.lower("value") if spec.lower_keywords and f.kind == "keyword" else F.col("value")
-            x = x.where("value is not null").select(*keep, literal.alias("term"), F.lit(0).alias("position"), F.lit(0).alias("sentence"))
+            x = rows.select("shard_id", F.col(spec.key).alias("doc_id"), F.lit(f.name).alias("field"), _value(f, spec).alias("value"))
+            x = x.where("value is not null").select(*keep, F.col("value").alias("term"), F.lit(0).alias("position"), F.lit(0).alias("sentence"))
         parts.append(x)
     out = parts[0]
     for p in parts[1:]:
@@ -99,57 +98,69 @@ def tokens(docs: DataFrame, spec: Spec, fields: tuple[str, ...] = ()) -> DataFra
     return out
 
 
-def _grouped(x: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, words, term, positions: a row's tokens by term; words is the number of distinct ones.
+def _words(docs: DataFrame, spec: Spec, f: Field) -> DataFrame:
+    return sharded(docs, spec).select("shard_id", F.col(spec.key).alias("doc_id"), analysis.items(_value(f, spec), spec.analyzer_of(f)).alias("items"))
 
-    Every derived column is read more than once by the next step, so the optimizer keeps the steps.
-    """
-    x = x.select(*keep, F.sort_array("tokens").alias("s"))
-    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
-    x = x.select(*keep, "s", F.filter(places, lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])).alias("starts"))
-    run = lambda a, k: F.slice("s", a + 1, F.coalesce(F.get("starts", k + 1), F.size("s")) - a)["position"]
-    # exploded as an expression: of a column the optimizer would infer, and push down, a filter on its size
-    found = F.transform("starts", lambda a, k: F.struct(F.get("s", a)["term"].alias("term"), run(a, k).alias("positions"), F.size("starts").alias("words")))
-    return x.select(*keep, F.explode(found).alias("t")).select(*keep, F.col("t.words").alias("words"), F.col("t.term").alias("term"), F.col("t.positions").alias("positions"))
 
+def _literals(docs: DataFrame, spec: Spec, f: Field) -> DataFrame:
+    """shard_id, field, term, doc_id of a keyword or integer field."""
+    return sharded(docs, spec).where(F.col(f.name).isNotNull()).select("shard_id", F.lit(f.name).alias("field"), _value(f, spec).alias("term"), F.col(spec.key).alias("doc_id"))
 
-def postings_of(docs: DataFrame, spec: Spec) -> DataFrame:
-    """One row per (shard, field, term, doc)."""
-    rows, parts = sharded(docs, spec), []
-    by: dict[str, list[Field]] = {}
-    for f in spec.planned():
-        by.setdefault(spec.analyzer_of(f) if f.kind == "text" else "simple", []).append(f)
-    keep = ["shard_id", "doc_id", "field"]
-    for name, fields in by.items():
-        x = rows.withColumn("doc_id", F.col(spec.key))
-        if len(fields) == 1:
-            x = x.select("shard_id", "doc_id", F.lit(fields[0].name).alias("field"), field_tokens(fields[0], spec).alias("tokens"))
-        else:
-            every = F.array(*(F.struct(F.lit(f.name).alias("field"), field_tokens(f, spec).alias("tokens")) for f in fields))
-            x = x.select("shard_id", "doc_id", F.explode(every).alias("f")).select("shard_id", "doc_id", "f.field", "f.tokens")
-        x = _grouped(x, keep)
-        if name != "simple":  # words of one stem are one term
-            x = analysis.stemmed(x, "term", name).repartition("shard_id", "doc_id")
-            x = x.groupBy(*keep, "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-            x = x.withColumn("words", F.count("*").over(Window.partitionBy(*keep)).cast("int"))  # a document's own terms
-        parts.append(x.select("shard_id", "field", "term", "doc_id", F.size("positions").alias("tf"), F.col("words").alias("doc_len"), "positions"))
+
+def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def postings_of(docs: DataFrame, spec: Spec) -> DataFrame:
+    """One row per (shard, field, term, doc)."""
+    parts, kind = [], docs.schema[spec.key].dataType.simpleString()
+    for f in spec.planned():
+        if f.kind == "text":
+            run = kernels.postings(spec.analyzer_of(f))
+            x = _words(docs, spec, f).mapInArrow(run, f"shard_id string, doc_id {kind}, term string, tf int, doc_len int, positions array<int>")
+            parts.append(x.select("shard_id", F.lit(f.name).alias("field"), "term", "doc_id", "tf", "doc_len", "positions"))
+        else:
+            parts.append(_literals(docs, spec, f).select("*", F.lit(1).alias("tf"), F.lit(1).alias("doc_len"), F.array(F.lit(0)).alias("positions")))
+    return _all(parts)
+
+
+def term_counts(docs: DataFrame, spec: Spec) -> DataFrame:
+    """shard_id, field, term, df; tasks send sums of their runs, no postings are made."""
+    parts = []
+    for f in spec.planned():
+        if f.kind == "text":
+            x = _words(docs, spec, f).drop("doc_id").mapInArrow(kernels.frequencies(spec.analyzer_of(f)), "shard_id string, term string, df bigint")
+            parts.append(x.groupBy("shard_id", "term").agg(F.sum("df").alias("df")).select("shard_id", F.lit(f.name).alias("field"), "term", "df"))
+        else:
+            parts.append(_literals(docs, spec, f).groupBy("shard_id", "field", "term").agg(F.count("*").alias("df")))
+    return _all(parts)
+
+
 def lengths(docs: DataFrame, spec: Spec) -> DataFrame:
     """shard_id, field, doc_id, doc_len of documents with terms; fields of plain analysis need no postings."""
     plain = [f for f in spec.planned() if f.kind != "text" or spec.analyzer_of(f) == "simple"]
     if len(plain) < len(spec.planned()):
         return postings_of(docs, spec).groupBy("shard_id", "field", "doc_id").agg(F.first("doc_len").alias("doc_len"))
-    words = lambda f: F.size(F.array_distinct(field_tokens(f, spec)["term"]))
+    words = lambda f: F.size(F.array_distinct(analysis.items(_value(f, spec), "simple"))) if f.kind == "text" else F.col(f.name).isNotNull().cast("int")
     fields = F.array(*(F.struct(F.lit(f.name).alias("field"), words(f).alias("doc_len")) for f in plain))
     x = sharded(docs, spec).select("shard_id", F.col(spec.key).alias("doc_id"), F.explode(fields).alias("f"))
     return x.select("shard_id", "f.field", "doc_id", "f.doc_len").where("doc_len > 0")
 
 
+def document_counts(docs: DataFrame, spec: Spec) -> DataFrame:
+    """shard_id, total_docs: documents with a term; for one text of plain analysis its first word decides."""
+    fields = spec.planned()
+    if len(fields) == 1 and fields[0].kind == "text" and spec.analyzer_of(fields[0]) == "simple":
+        return sharded(docs, spec).where(_value(fields[0], spec).rlike(analysis.WORD)).groupBy("shard_id").agg(F.count("*").alias("total_docs"))
+    lens = lengths(docs, spec)
+    if len(fields) > 1:  # several fields of a document count once
+        lens = lens.select("shard_id", "doc_id").distinct()
+    return lens.groupBy("shard_id").agg(F.count("*").alias("total_docs"))
+
+
 @dataclass
 class Index:
     """An inverted index as DataFrames; docs are the sources, with shard_id, for filters and hydration."""
@@ -169,22 +180,23 @@ class Index:
     @staticmethod
     def build(docs: DataFrame, spec: Spec) -> Index:
         """All parts as plans over docs; write() and read() make them tables."""
-        posts = postings_of(docs, spec)
-        lens = lengths(docs, spec)
-        field_stats = lens.groupBy("shard_id", "field").agg(F.sum("doc_len").alias("total_len"), F.count("*").alias("doc_count"))
-        shard_stats = lens.groupBy("shard_id", "doc_id").agg(F.lit(1).alias("one")).groupBy("shard_id").agg(F.count("*").alias("total_docs")) if len(spec.planned()) > 1 else field_stats.select("shard_id", F.col("doc_count").alias("total_docs"))
-        stats = posts.groupBy("shard_id", "field", "term").agg(F.count("*").alias("df"))
-        return Index(spec, posts, stats, field_stats, shard_stats, sharded(docs, spec))
+        field_stats = lengths(docs, spec).groupBy("shard_id", "field").agg(F.sum("doc_len").alias("total_len"), F.count("*").alias("doc_count"))
+        return Index(spec, postings_of(docs, spec), term_counts(docs, spec), field_stats, document_counts(docs, spec), sharded(docs, spec))
 
     def write(self, path: str) -> Index:
-        """Parquet by shard, sorted by field and term within files; the index read back.
+        """Parquet; the index read back.
 
-        Texts are analysed once: statistics come from the written postings. Rebalancing splits what
-        a very common term has and joins what rare ones have.
+        Texts are analysed once: statistics come from the written postings.
         """
-        spark, place = self.spark, lambda d: d.hint("rebalance", "shard_id", "field", "term").sortWithinPartitions("shard_id", "field", "term", "doc_id")
+        spark = self.spark
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        place(self.postings).write.mode("overwrite").option("parquet.block.size", 16 << 20).partitionBy("shard_id").parquet(f"{path}/postings")
+        name = "spark.sql.maxConcurrentOutputFileWriters"
+        before = spark.conf.get(name)
+        spark.conf.set(name, OPEN_SHARDS)  # without it, rows would be sorted by shard once more
+        try:
+            self.postings.write.mode("overwrite").option("parquet.block.size", 16 << 20).partitionBy("shard_id").parquet(f"{path}/postings")
+        finally:
+            spark.conf.set(name, before)
         posts = spark.read.schema(self.postings.schema).parquet(f"{path}/postings")
         posts.groupBy("shard_id", "field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats")
         lens = posts.groupBy("shard_id", "field", "doc_id").agg(F.first("doc_len").alias("doc_len"))

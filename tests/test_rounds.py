@@ -4,10 +4,14 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from termweave import queries
 from termweave.functions import analysis, kernels
 from termweave.operators import cooc, search
 from termweave.operators.index import Field, Index, Spec, tokens
 
+SF = "/root/testdata/sf0.001"
 SIMPLE = Spec((Field("text", analyzer="simple"),))
 
 
@@ -77,3 +81,41 @@ def test_window_counts(spark):
 def test_signs_do_not_hide_the_end_of_a_sentence(spark):
     """A word after an end and a lone _ begins a new sentence."""
     assert {(r.term, r.sentence) for r in tokens(docs_of(spark, "cat. _ dog"), Spec((Field("text"),))).collect()} == {("cat", 0), ("dog", 1)}
+
+
+def test_postings_in_runs(spark, monkeypatch):
+    """Runs of few tokens give all postings, sorted by shard and term within each; no row is shuffled."""
+    monkeypatch.setattr(kernels, "RUN_TOKENS", 7)
+    for name in ("simple", "standard"):
+        cut = docs_of(spark, *ODD).select(F.lit("s").alias("shard_id"), F.col("doc_id"), analysis.items(F.col("text"), name).alias("items"))
+        batches = cut.toArrow().to_batches(max_chunksize=2)
+        runs = [b.to_pylist() for b in kernels.postings(name)(iter(batches))]
+        assert len(runs) > 1 and all(r == sorted(r, key=lambda x: x["term"].encode()) for r in runs)
+        want = {}
+        for i, t in enumerate(ODD, 1):
+            words = analysis.regex.findall(analysis.WORD, (t or "").lower())
+            for w, at in enumerate_terms(words) if name == "simple" else [(x[0], x[1]) for x in analysis.standard_analyze(analysis.standard_tokens(t))]:
+                want.setdefault((w, i), []).append(at)
+        assert {(x["term"], x["doc_id"]): x["positions"] for r in runs for x in r} == want and sum(map(len, runs)) == len(want)
+        lens = Counter(d for _, d in want)
+        assert all(x["doc_len"] == lens[x["doc_id"]] and x["tf"] == len(x["positions"]) for r in runs for x in r)
+        df = Counter()
+        for b in kernels.frequencies(name)(iter(x.drop_columns(["doc_id"]) for x in batches)):
+            df.update({x["term"]: x["df"] for x in b.to_pylist()})
+        assert df == Counter(w for w, _ in want)
+        plan = Index.build(docs_of(spark, *ODD), Spec((Field("text", analyzer=name),))).postings._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+
+
+def enumerate_terms(words):
+    return [(w, i) for i, w in enumerate(words, 1)]
+
+
+def test_statistics_and_ranges_write_no_postings(spark):
+    """Dictionary and range queries leave the index unwritten; their rows are those of the index."""
+    for name in ("range_query", "terms_merge_df", "term_df"):
+        queries.QUERIES[name](spark, SF).collect()
+    assert not [k for k in queries._stored if SF in k and "index" in k]
+    i = queries.text_index(spark, SF, "lang")
+    assert sorted(map(str, i.term_stats.select("shard_id", "term", "df").collect())) == sorted(map(str, i.postings.groupBy("shard_id", "term").agg(F.count("*").alias("df")).collect()))
+    assert sorted(map(str, i.shard_stats.collect())) == sorted(map(str, i.field_stats.select("shard_id", F.col("doc_count").alias("total_docs")).collect()))
