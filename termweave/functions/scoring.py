@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,8 +76,23 @@ def llr(count: Column, df_a: Column, df_b: Column, n: Column) -> Column:
     return 2 * (term(k11, rows[0], cols[0]) + term(k12, rows[0], cols[1]) + term(k21, rows[1], cols[0]) + term(k22, rows[1], cols[1]))
 
 
-def llr_weight(count: Column, df_a: Column, df_b: Column, n: Column, mean: Column) -> Column:
-    value = llr(count, df_a, df_b, n) / (2 * n * F.log(F.lit(2.0))) * (1 + mean)
+def with_llr(rows: DataFrame, count: Column, df_a: Column, df_b: Column, n: Column, name: str = "llr") -> DataFrame:
+    """rows with llr() as a column, in steps: as one expression it repeats its cells too often to be compiled."""
+    cells = {"_k11": count.cast("double"), "_k12": F.greatest(df_a - count, F.lit(0)).cast("double"), "_k21": F.greatest(df_b - count, F.lit(0)).cast("double"), "_k22": F.greatest(n - df_a - df_b + count, F.lit(0)).cast("double")}
+    x = rows.withColumns(cells)
+    x = x.withColumns({"_r1": F.col("_k11") + F.col("_k12"), "_r2": F.col("_k21") + F.col("_k22"), "_c1": F.col("_k11") + F.col("_k21"), "_c2": F.col("_k12") + F.col("_k22")})
+    x = x.withColumn("_all", F.col("_r1") + F.col("_r2"))
+
+    def part(k: str) -> Column:
+        k, r, c = F.col(f"_k{k}"), F.col(f"_r{k[0]}"), F.col(f"_c{k[1]}")
+        return F.when((k > 0) & (r > 0) & (c > 0), k * F.log(k * F.col("_all") / (r * c))).otherwise(0.0)
+
+    return x.withColumn(name, 2 * (part("11") + part("12") + part("21") + part("22"))).drop(*cells, "_r1", "_r2", "_c1", "_c2", "_all")
+
+
+def llr_weight(count: Column, df_a: Column, df_b: Column, n: Column, mean: Column, ratio: Column | None = None) -> Column:
+    """Log-likelihood by bits, times (1 + mean decay); ratio is the llr() of the row, if it is there."""
+    value = (llr(count, df_a, df_b, n) if ratio is None else ratio) / (2 * n * F.log(F.lit(2.0))) * (1 + mean)
     return F.when((count > 0) & (n > 0), clamp(value)).otherwise(0.0)
 
 

@@ -126,15 +126,19 @@ def edges(pair_sums: DataFrame, term_stats: DataFrame, shard_stats: DataFrame, m
     if max_df:
         df = df.where(F.col("df") <= max_df)
     rows = pair_sums.where(F.col("cnt") >= min_count)
-    for side in ("a", "b"):
-        rows = rows.join(df.select("shard_id", "field", F.col("term").alias(f"term_{side}"), F.col("df").alias(f"df_{side}")), ["shard_id", "field", f"term_{side}"])
+    for side in ("a", "b"):  # a term has one DF, so its side is the one to hold: the pairs are not sorted
+        one = df.select("shard_id", "field", F.col("term").alias(f"term_{side}"), F.col("df").alias(f"df_{side}"))
+        rows = rows.join(one.hint("shuffle_hash"), ["shard_id", "field", f"term_{side}"])
     rows = rows.join(shard_stats, "shard_id").withColumn("mean", F.col("wsum") / F.col("cnt"))
     c, a, b, n, m = (F.col(x) for x in ("cnt", "df_a", "df_b", "total_docs", "mean"))
+    if method == "llr":
+        rows = scoring.with_llr(rows, c, a, b, n, "ratio")
     weight, source = {
-        "npmi": (scoring.npmi_weight(c, a, b, n, m), "pmi"), "llr": (scoring.llr_weight(c, a, b, n, m), "llr"), "dice": (scoring.dice_weight(c, a, b, m), "dice"),
+        "npmi": (scoring.npmi_weight(c, a, b, n, m), "pmi"), "llr": (scoring.llr_weight(c, a, b, n, m, F.col("ratio")), "llr"), "dice": (scoring.dice_weight(c, a, b, m), "dice"),
         "ml": (scoring.clamp(weigher({"cnt": c, "df_a": a, "df_b": b, "n": n, "mean": m})) if weigher else scoring.npmi_weight(c, a, b, n, m), "ml_weight" if weigher else "pmi"),
     }[method]
-    rows = rows.withColumn("weight", weight).where("weight > 0")
-    common = ["shard_id", "field", "weight", F.lit("cooccurrence").alias("edge_type"), F.lit(source).alias("source"), "cnt"]
-    one = rows.select(F.col("term_a").alias("src"), F.col("term_b").alias("dst"), *common)
-    return one.unionByName(rows.select(F.col("term_b").alias("src"), F.col("term_a").alias("dst"), *common))
+    # no filter on the weight: the optimizer would push it down and compute the weight twice
+    both = [F.struct(F.col(f"term_{x}").alias("src"), F.col(f"term_{y}").alias("dst")) for x, y in ("ab", "ba")]
+    both = F.when(F.col("weight") > 0, F.array(*both)).otherwise(F.array().cast("array<struct<src:string,dst:string>>"))
+    rows = rows.withColumn("weight", weight).select("shard_id", "field", "weight", F.lit("cooccurrence").alias("edge_type"), F.lit(source).alias("source"), "cnt", F.inline(both))
+    return rows.select("src", "dst", "shard_id", "field", "weight", "edge_type", "source", "cnt")

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import scoring
 from ..functions.scalars import json_kind
+from ..sources.workspace import materialize
 from . import graph
 
 EDGE_FEATURES = ["cnt", "df_a", "df_b", "n", "mean", "npmi"]
@@ -82,17 +83,19 @@ def edge_features(edges: DataFrame, term_stats: DataFrame, total_docs: int, esti
     """The 14 columns of the edge export, one direction (src <= dst); the real count unless estimate; DFs of the field, or of all."""
     term_stats = term_stats.where(F.col("field") == field) if field else term_stats
     df = term_stats.groupBy("term").agg(F.sum("df").alias("df"))
-    rows = edges.where("src <= dst").join(df.select(F.col("term").alias("src"), F.col("df").alias("df_a")), "src").join(df.select(F.col("term").alias("dst"), F.col("df").alias("df_b")), "dst")
+    side = lambda name, count: df.select(F.col("term").alias(name), F.col("df").alias(count)).hint("shuffle_hash")  # noqa: E731  one row for each term
+    rows = edges.where("src <= dst").join(side("src", "df_a"), "src").join(side("dst", "df_b"), "dst")
     n = F.lit(float(total_docs))
     cnt = estimated_count(F.col("weight"), F.col("df_a"), F.col("df_b"), n) if estimate or "cnt" not in edges.columns else F.col("cnt").cast("long")
     rows = rows.withColumn("c", cnt)
     c, a, b = F.col("c"), F.col("df_a"), F.col("df_b")
     npmi = F.when(c != n, F.log((c / n) / ((a / n) * (b / n))) / -F.log(c / n)).otherwise(0.0)
     six = lambda x: F.round(x, 6)
+    rows = scoring.with_llr(rows, c, a, b, n)
     ratio = F.least(a, b) / F.greatest(a, b)
     return rows.select(
         F.col("src").alias("term_a"), F.col("dst").alias("term_b"), c.alias("cooc_count"), "df_a", "df_b", F.lit(total_docs).cast("long").alias("total_docs"),
-        six(F.col("weight")).alias("weight"), six(npmi).alias("npmi"), six(scoring.llr(c, a, b, n)).alias("llr"), six(2.0 * c / (a + b)).alias("dice"),
+        six(F.col("weight")).alias("weight"), six(npmi).alias("npmi"), six(F.col("llr")).alias("llr"), six(2.0 * c / (a + b)).alias("dice"),
         six(F.log1p(c.cast("double"))).alias("log_count"), six(ratio).alias("df_ratio"), six(F.col("weight")).alias("target_weight"), json_kind(F.col("source")).alias("source"),
     )
 
@@ -114,7 +117,9 @@ def expansion_features(
     rows = queries.join(energy, queries.term == energy.start).groupBy("query_id", F.col("node").alias("expansion")).agg(F.sum("energy").alias("energy"))
     rows = rows.join(queries.select("query_id", F.col("term").alias("expansion")), ["query_id", "expansion"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("energy"), "expansion"))
-    rows = rows.withColumn("nth", nth).where(F.col("nth") <= top).drop("nth")
+    rows = materialize(rows.withColumn("nth", nth).where(F.col("nth") <= top).drop("nth"), "expansions")
+    own = rows.select("expansion").distinct()  # edges and postings of other terms are left out before they are grouped
+    edges, postings = edges.join(own.withColumnRenamed("expansion", "src"), "src", "left_semi"), postings.join(own.withColumnRenamed("expansion", "term"), "term", "left_semi")
     df = term_stats.groupBy(F.col("term").alias("expansion")).agg(F.sum("df").alias("df"))
     features = graph.node_features(edges).select(F.col("node").alias("expansion"), "degree", "avg_weight")
     size = queries.groupBy("query_id").agg(F.count("*").alias("query_len"))

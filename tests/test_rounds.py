@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from termweave import queries
-from termweave.functions import analysis, kernels
+from termweave.functions import analysis, kernels, scoring
 from termweave.operators import cooc, search
 from termweave.operators.index import Field, Index, Spec, tokens
 
@@ -119,3 +119,29 @@ def test_statistics_and_ranges_write_no_postings(spark):
     i = queries.text_index(spark, SF, "lang")
     assert sorted(map(str, i.term_stats.select("shard_id", "term", "df").collect())) == sorted(map(str, i.postings.groupBy("shard_id", "term").agg(F.count("*").alias("df")).collect()))
     assert sorted(map(str, i.shard_stats.collect())) == sorted(map(str, i.field_stats.select("shard_id", F.col("doc_count").alias("total_docs")).collect()))
+
+
+def test_edges_come_from_one_evaluation(spark):
+    """Both directions from one evaluation of the joins; the likelihood ratio's cells are computed once; weights are those of one expression."""
+    sums = spark.createDataFrame([("s", "t", "a", "b", 3, 2.0), ("s", "t", "a", "c", 2, 2.0), ("s", "t", "b", "c", 9, 4.5), ("s", "t", "b", "x", 9, 4.5)], "shard_id string, field string, term_a string, term_b string, cnt long, wsum double")
+    df = spark.createDataFrame([("s", "t", w, n) for w, n in (("a", 4), ("b", 40), ("c", 11))], "shard_id string, field string, term string, df long")
+    total = spark.createDataFrame([("s", 100)], "shard_id string, total_docs long")
+    for method in ("npmi", "llr", "dice"):
+        e = cooc.edges(sums, df, total, method)
+        plan = e._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and plan.count("Join") == 3 and plan.lower().count("greatest(") <= 8
+        got = {(r.src, r.dst): round(r.weight, 12) for r in e.collect()}
+        want = {}
+        for x, y, n, a, b, m in (("a", "b", 3, 4, 40, 2 / 3), ("b", "c", 9, 40, 11, 0.5)):
+            args = [F.lit(v) for v in (n, a, b)]
+            w = {"npmi": lambda: scoring.npmi_weight(*args, F.lit(100), F.lit(m)), "llr": lambda: scoring.llr_weight(*args, F.lit(100), F.lit(m)), "dice": lambda: scoring.dice_weight(*args, F.lit(m))}[method]()
+            w = spark.range(1).select(w.alias("w")).first().w
+            if w > 0:
+                want[x, y] = want[y, x] = round(w, 12)
+        assert got == want
+
+
+def test_edge_queries_write_no_postings(spark):
+    for name in ("npmi_edges", "export_graph"):
+        queries.QUERIES[name](spark, SF).collect()
+    assert not [k for k in queries._stored if SF in k and "index" in k]
