@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import materialize
 
 
 def upsert(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -111,25 +112,34 @@ def spread_activation(
 
     Each start's reachable part of the pruned graph (fan_out + 1 edges a node, as the start itself
     may take a place) is gathered by joins, hop by hop, and activated in one task per start; it holds
-    at most fan_out ** hops nodes. Embeddings blend alpha * cosine into edge weights after the cut.
+    at most fan_out ** hops nodes. Only the edges of the nodes reached are ranked, and a hop is written, so
+    the next one reads the graph once, beside a small table. Embeddings blend alpha * cosine into edge
+    weights after the cut.
     """
     decay = decay if 0 < decay <= 1 else 0.7
     fan_out = fan_out if fan_out > 0 else 50
-    pruned = top_edges(edges.select("src", "dst", "weight"), fan_out + 1).withColumn("rank", F.col("weight"))
-    if embeddings is not None and alpha > 0:
+    if energy <= 0:
+        hops = 0
+
+    def pruned(nodes: DataFrame) -> DataFrame:
+        own = edges.select("src", "dst", "weight").join(nodes.select("src").distinct(), "src", "left_semi")
+        out = top_edges(own, fan_out + 1).withColumn("rank", F.col("weight"))
+        if embeddings is None or alpha <= 0:
+            return out
         from ..functions.scoring import cosine
 
         e = embeddings.select("term", "embedding")
-        pruned = pruned.join(e.select(F.col("term").alias("src"), F.col("embedding").alias("ea")), "src", "left").join(e.select(F.col("term").alias("dst"), F.col("embedding").alias("eb")), "dst", "left")
+        out = out.join(e.select(F.col("term").alias("src"), F.col("embedding").alias("ea")), "src", "left").join(e.select(F.col("term").alias("dst"), F.col("embedding").alias("eb")), "dst", "left")
         blended = alpha * cosine(F.col("ea"), F.col("eb")) + (1 - alpha) * F.col("weight")
-        pruned = pruned.select("src", "dst", F.when(F.col("ea").isNotNull() & F.col("eb").isNotNull(), blended).otherwise(F.col("weight")).alias("weight"), "rank")
+        return out.select("src", "dst", F.when(F.col("ea").isNotNull() & F.col("eb").isNotNull(), blended).otherwise(F.col("weight")).alias("weight"), "rank")
+
     frontier = starts.select("start", F.col("start").alias("src")).distinct()
     parts = []
     for _ in range(max(0, hops)):
-        reached = pruned.join(frontier, "src").select("start", "src", "dst", "weight", "rank")
+        reached = materialize(pruned(frontier).join(frontier, "src").select("start", "src", "dst", "weight", "rank"), "hop")
         parts.append(reached)
         frontier = reached.select("start", F.col("dst").alias("src")).distinct()
-    if not parts or energy <= 0:
+    if not parts:
         return starts.sparkSession.createDataFrame([], "start string, node string, energy double")
     local = parts[0]
     for x in parts[1:]:

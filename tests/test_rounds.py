@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termweave import queries
 from termweave.functions import analysis, kernels, scoring
-from termweave.operators import cooc, search
+from termweave.operators import cooc, graph, search
 from termweave.operators.index import Field, Index, Spec, tokens
 
 SF = "/root/testdata/sf0.001"
@@ -141,6 +141,20 @@ def test_edges_come_from_one_evaluation(spark):
         assert got == want
 
 
+def test_only_reached_nodes_are_ranked(spark, monkeypatch):
+    """Spreading ranks the edges of the nodes it reaches, not those of the whole graph."""
+    rows = [(f"n{i}", f"n{j}", 0.9 - j / 1000) for i in range(60) for j in (i + 1, i + 2)]
+    seen, rank = [], graph.top_edges
+
+    def counted(edges, *a):
+        seen.append(edges.count())
+        return rank(edges, *a)
+
+    monkeypatch.setattr(graph, "top_edges", counted)
+    found = graph.spread_activation(spark.createDataFrame(rows, "src string, dst string, weight double"), spark.createDataFrame([("n0",)], "start string"), hops=2, threshold=0.0)
+    assert {r.node for r in found.collect()} == {"n1", "n2", "n3", "n4"} and seen == [2, 4]
+
+
 def test_edge_queries_write_no_postings(spark):
     for name in ("npmi_edges", "export_graph"):
         queries.QUERIES[name](spark, SF).collect()
