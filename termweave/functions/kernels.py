@@ -21,9 +21,9 @@ from . import analysis
 from .porter2 import cached_stem
 
 #: Tokens of a sorted run of postings; raw pairs that are summed before they are sent; terms that a task keeps at most.
-RUN_TOKENS, RUN_PAIRS, KEPT_TERMS = 1 << 22, 1 << 24, 1 << 21
+RUN_TOKENS, RUN_PAIRS, KEPT_TERMS = 1 << 21, 1 << 23, 1 << 18
 #: Characters of the terms that a task keeps at most. Bits of a term's id in the key of a pair.
-KEPT_CHARS, ID_BITS = 1 << 26, 26
+KEPT_CHARS, ID_BITS = 1 << 24, 26
 MOST_WINDOW = 1 << 63 - 2 * ID_BITS
 #: Rows of a batch that goes back to the JVM.
 OUT_ROWS = 1 << 15
@@ -133,13 +133,12 @@ class _Run:
     """Tokens of several batches, sorted at once by shard, term and row."""
 
     def __init__(self) -> None:
-        self.tokens: list[Tokens] = []
+        self.tokens: list[list[np.ndarray]] = []
         self.meta: list[pa.RecordBatch] = []
         self.rows = self.size = 0
 
     def add(self, batch: pa.RecordBatch, t: Tokens) -> None:
-        t.row = t.row + self.rows
-        self.tokens.append(t)
+        self.tokens.append([x.astype(np.int32) for x in (t.term, t.row + self.rows, t.position)])
         self.meta.append(batch.select([c for c in batch.schema.names if c != "items"]))
         self.rows, self.size = self.rows + batch.num_rows, self.size + len(t.term)
 
@@ -149,11 +148,13 @@ class _Run:
         shard = meta.column("shard_id").combine_chunks().dictionary_encode()
         shard = shard.combine_chunks() if isinstance(shard, pa.ChunkedArray) else shard
         code = pc.fill_null(shard.indices, len(shard.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
-        term, row, position = (np.concatenate([getattr(t, x) for t in self.tokens]) for x in ("term", "row", "position"))
+        term, row, position = (np.concatenate(x) for x in zip(*self.tokens, strict=True))
+        self.tokens = []
         bits = max(1, int(len(term)).bit_length())
         key = (code[row] * len(rank) + rank[term]) << bits | np.arange(len(term))
         key.sort()
-        at, group = key & ((1 << bits) - 1), key >> bits
+        at = (key & ((1 << bits) - 1)).astype(np.int32)
+        group = np.right_shift(key, bits, out=key)
         row = row[at]
         first = _starts(group, row)
         group = group[first]
@@ -174,7 +175,7 @@ def _runs(batches: Iterator[pa.RecordBatch], words: Lexicon) -> Iterator[_Run]:
         yield run
 
 
-def _slices(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(b: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` items, a row at least."""
     sizes = pc.fill_null(pc.list_value_length(_whole(b, "items")), 0).to_numpy(zero_copy_only=False)
     part, begin = np.cumsum(sizes) // most, 0
@@ -247,18 +248,42 @@ def window_counts(analyzer_name: str, window: int) -> Callable[[Iterator[pa.Reco
 # --- pairs ---------------------------------------------------------------------------------------
 
 
+def _pair_runs(keys: np.ndarray, bits: int, weight: np.ndarray) -> list[np.ndarray]:
+    """Two terms and code (the gap of a pair met once, else 0) of each pair in keys, which are sorted in place a part at a time; count and weight of pairs of code 0."""
+    keys.sort()
+    out, begin = [], 0
+    while begin < len(keys):
+        end = min(begin + (1 << 20), len(keys))
+        end = int(np.searchsorted(keys, ((keys[end - 1] >> bits) + 1) << bits))  # a pair is not cut
+        part = keys[begin:end]
+        first = _starts(part)
+        times, part = np.diff(first, append=len(part)), part[first]
+        gap, pair = part & ((1 << bits) - 1), part >> bits
+        first = _starts(pair)
+        cnt, wsum, pair = np.add.reduceat(times, first), np.add.reduceat(times * weight[gap], first), pair[first]
+        code = np.where((cnt == 1) & (gap[first] < 255), gap[first] + 1, 0).astype(np.uint8)
+        many = code == 0
+        out.append(((pair >> ID_BITS).astype(np.int32), (pair & ((1 << ID_BITS) - 1)).astype(np.int32), code, cnt[many], wsum[many]))
+        begin = end
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
 def _ship(bucket: np.ndarray, lo: np.ndarray, hi: np.ndarray, code: np.ndarray, cnt: np.ndarray, wsum: np.ndarray, terms: list[str], shard: str | None) -> Iterator[tuple[int, bytes]]:
     """(bucket, bytes) of pair sums; a pair met once is one byte of gap, others have their sums."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, lo, hi, code, cnt, wsum = (x[order] for x in (bucket, lo, hi, code, cnt, wsum))
-    first = _starts(bucket)
-    for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True):
-        own, back = np.unique(np.concatenate([lo[a:b], hi[a:b]]), return_inverse=True)
-        back = back.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-        many = code[a:b] == 0
-        sums = (shard, "\0".join([terms[i] for i in own]), back[: b - a].tobytes(), back[b - a :].tobytes(), back.dtype.str, code[a:b].tobytes(), cnt[a:b][many].tobytes(), wsum[a:b][many].tobytes())
+    order, sums_at = np.argsort(bucket, kind="stable").astype(np.int32), np.cumsum(code == 0, dtype=np.int32) - 1
+    ends = np.cumsum(np.bincount(bucket))
+    for n in np.flatnonzero(np.diff(ends, prepend=0)):
+        at = order[ends[n - 1] if n else 0 : ends[n]]
+        own, back = np.unique(np.concatenate([lo[at], hi[at]]), return_inverse=True)
+        back, one = back.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), code[at]
+        many = sums_at[at[one == 0]]
+        sums = (shard, "\0".join([terms[i] for i in own]), back[: len(at)].tobytes(), back[len(at) :].tobytes(), back.dtype.str, one.tobytes(), cnt[many].tobytes(), wsum[many].tobytes())
         raw = pickle.dumps(sums)
-        yield int(bucket[a]), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+        yield int(n), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _payloads(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["bucket", "payload"])
 
 
 def pair_parts(analyzer_name: str, window: int, weights: list[float], buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -269,46 +294,59 @@ def pair_parts(analyzer_name: str, window: int, weights: list[float], buckets: i
     def sent(keys: np.ndarray, terms: list[str], shard: str | None) -> Iterator[pa.RecordBatch]:
         if not len(keys):
             return
-        keys.sort()
-        first = _starts(keys)
-        times, keys = np.diff(first, append=len(keys)), keys[first]
-        gap, pair = keys & ((1 << bits) - 1), keys >> bits
-        first = _starts(pair)
-        cnt, wsum = np.add.reduceat(times, first), np.add.reduceat(times * weight[gap], first)
-        code = np.where((cnt == 1) & (gap[first] < 255), gap[first] + 1, 0).astype(np.uint8)
-        a, b = pair[first] >> ID_BITS, pair[first] & ((1 << ID_BITS) - 1)
-        rank = np.empty(len(terms), np.int64)
+        a, b, code, cnt, wsum = _pair_runs(keys, bits, weight)
+        rank = np.empty(len(terms), np.int32)
         rank[pc.sort_indices(pa.array(terms, pa.string())).to_numpy()] = np.arange(len(terms))
-        swap = rank[a] > rank[b]
-        lo, hi = np.where(swap, b, a), np.where(swap, a, b)
+        swap = np.flatnonzero(rank[a] > rank[b])
+        a[swap], b[swap] = b[swap], a[swap]
         h = np.fromiter((zlib.crc32(t.encode()) for t in terms), np.uint64, len(terms))
-        bucket = ((((h[lo] * _M1) ^ (h[hi] * _M2)) * _M3) >> np.uint64(33)) % np.uint64(buckets)
-        found = list(_ship(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), lo, hi, code, cnt, wsum, terms, shard))
-        for i in range(0, len(found), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found[i : i + 64]], pa.int32()), pa.array([x[1] for x in found[i : i + 64]], pa.binary())], ["bucket", "payload"])
+        bucket = (h * _M1)[a]
+        bucket ^= (h * _M2)[b]
+        bucket *= _M3
+        bucket >>= np.uint64(33)
+        bucket %= np.uint64(buckets)
+        bucket, held = bucket.astype(np.uint16), []
+        for x in _ship(bucket, a, b, code, cnt, wsum, terms, shard):
+            held.append(x)
+            if len(held) == 64:
+                yield _payloads(held)
+                held = []
+        if held:
+            yield _payloads(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Lexicon(analyzer_name), {}, 0
+        words, keys, size, parts = Lexicon(analyzer_name), np.empty(RUN_PAIRS, np.int64), 0, []  # one buffer; parts are (shard, begin, end) in it
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for s in dict.fromkeys(x[0] for x in parts):
+                own = [keys[a:b] for name, a, b in parts if name == s]
+                yield from sent(own[0] if len(own) == 1 else np.concatenate(own), words.terms, s)
+            parts.clear()
+            words.clear()
+
         for b in batches:
             shard = _whole(b, "shard_id").dictionary_encode()
             for k in [*range(len(shard.dictionary)), None] if shard.null_count else range(len(shard.dictionary)):
                 own = b if len(shard.dictionary) == 1 and not shard.null_count else b.filter(pc.is_null(shard) if k is None else pc.fill_null(pc.equal(shard.indices, k), False))
                 name = None if k is None else shard.dictionary[k].as_py()
-                for part in _slices(own):
+                for part in _slices(own, 1 << 18):
                     t = words.tokens(_whole(part, "items"))
+                    if size and (size + len(t.term) * window > len(keys) or words.full()):
+                        yield from flushed()
+                        size, t = 0, words.tokens(_whole(part, "items"))
+                    if len(t.term) * window > len(keys):  # a very long text
+                        keys = np.empty(len(t.term) * window, np.int64)
+                    begin = size
                     for g in range(1, window + 1):
                         x, y = t.term[g:], t.term[:-g]
                         near = np.flatnonzero((t.sentence[g:] == t.sentence[:-g]) & (x != y))
                         x, y = x[near], y[near]
-                        held.setdefault(name, []).append((np.minimum(x, y) << ID_BITS | np.maximum(x, y)) << bits | (g - 1))
+                        keys[size : size + len(near)] = (np.minimum(x, y) << ID_BITS | np.maximum(x, y)) << bits | (g - 1)
                         size += len(near)
-                    if size >= RUN_PAIRS or words.full():
-                        for s in list(held):
-                            yield from sent(np.concatenate(held.pop(s)), words.terms, s)
-                        size = 0
-                        words.clear()
-        for s in list(held):
-            yield from sent(np.concatenate(held.pop(s)), words.terms, s)
+                    if parts and parts[-1][0] == name:
+                        begin = parts.pop()[1]
+                    parts.append((name, begin, size))
+        yield from flushed()
 
     return run
 
@@ -322,17 +360,18 @@ def pair_sums(weights: list[float], least: int) -> Callable[[pa.Table], pa.Table
         for x in table.column("payload"):
             raw = x.as_buffer()
             s, joined, lo, hi, kind, code, cnt, wsum = pickle.loads(pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8].to_pybytes(), "little"), codec="zstd"))
-            own = joined.split("\0")
+            words.append(pc.split_pattern(pa.array([joined]), "\0").flatten())
             code = np.frombuffer(code, np.uint8)
             c, w = np.ones(len(code), np.int64), one[np.minimum(code, len(one) - 1)]
             c[code == 0], w[code == 0] = np.frombuffer(cnt, np.int64), np.frombuffer(wsum, np.float64)
-            parts.append((np.full(len(code), shards.setdefault(s, len(shards))), np.frombuffer(lo, kind).astype(np.int64) + base, np.frombuffer(hi, kind).astype(np.int64) + base, c, w))
-            words.extend(own)
-            base += len(own)
+            parts.append((np.full(len(code), shards.setdefault(s, len(shards)), np.int32), np.frombuffer(lo, kind).astype(np.int32) + np.int32(base), np.frombuffer(hi, kind).astype(np.int32) + np.int32(base), c, w))
+            base += len(words[-1])
+        coded = pa.concat_arrays(words).dictionary_encode()
         shard, lo, hi, cnt, wsum = (np.concatenate(x) for x in zip(*parts, strict=True))
-        coded = pa.array(words, pa.string()).dictionary_encode()
+        del words, parts
         at = coded.indices.to_numpy().astype(np.int64)
         key = at[lo] << 32 | at[hi]
+        del lo, hi
         order = np.argsort(key) if len(shards) == 1 else np.lexsort((key, shard))
         key, shard = key[order], shard[order]
         first = _starts(key, shard)
