@@ -269,15 +269,16 @@ def _pair_runs(keys: np.ndarray, bits: int, weight: np.ndarray) -> list[np.ndarr
 
 
 def _ship(bucket: np.ndarray, lo: np.ndarray, hi: np.ndarray, code: np.ndarray, cnt: np.ndarray, wsum: np.ndarray, terms: list[str], shard: str | None) -> Iterator[tuple[int, bytes]]:
-    """(bucket, bytes) of pair sums; a pair met once is one byte of gap, others have their sums."""
+    """(bucket, bytes) of pair sums, lo < hi places in the sorted terms; steps of lo, and a byte of gap for a pair met once, pack well."""
     order, sums_at = np.argsort(bucket, kind="stable").astype(np.int32), np.cumsum(code == 0, dtype=np.int32) - 1
     ends = np.cumsum(np.bincount(bucket))
     for n in np.flatnonzero(np.diff(ends, prepend=0)):
         at = order[ends[n - 1] if n else 0 : ends[n]]
+        at = at[np.argsort(lo[at].astype(np.int64) << 32 | hi[at])]
         own, back = np.unique(np.concatenate([lo[at], hi[at]]), return_inverse=True)
         back, one = back.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), code[at]
         many = sums_at[at[one == 0]]
-        sums = (shard, "\0".join([terms[i] for i in own]), back[: len(at)].tobytes(), back[len(at) :].tobytes(), back.dtype.str, one.tobytes(), cnt[many].tobytes(), wsum[many].tobytes())
+        sums = (shard, "\0".join([terms[i] for i in own]), np.diff(back[: len(at)], prepend=back.dtype.type(0)).tobytes(), back[len(at) :].tobytes(), back.dtype.str, one.tobytes(), cnt[many].tobytes(), wsum[many].tobytes())
         raw = pickle.dumps(sums)
         yield int(n), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -295,9 +296,11 @@ def pair_parts(analyzer_name: str, window: int, weights: list[float], buckets: i
         if not len(keys):
             return
         a, b, code, cnt, wsum = _pair_runs(keys, bits, weight)
-        rank = np.empty(len(terms), np.int32)
-        rank[pc.sort_indices(pa.array(terms, pa.string())).to_numpy()] = np.arange(len(terms))
-        swap = np.flatnonzero(rank[a] > rank[b])
+        order = pc.sort_indices(pa.array(terms, pa.string())).to_numpy()
+        terms, rank = [terms[i] for i in order], np.empty(len(terms), np.int32)
+        rank[order] = np.arange(len(order))
+        a, b = rank[a], rank[b]
+        swap = np.flatnonzero(a > b)
         a[swap], b[swap] = b[swap], a[swap]
         h = np.fromiter((zlib.crc32(t.encode()) for t in terms), np.uint64, len(terms))
         bucket = (h * _M1)[a]
@@ -364,7 +367,7 @@ def pair_sums(weights: list[float], least: int) -> Callable[[pa.Table], pa.Table
             code = np.frombuffer(code, np.uint8)
             c, w = np.ones(len(code), np.int64), one[np.minimum(code, len(one) - 1)]
             c[code == 0], w[code == 0] = np.frombuffer(cnt, np.int64), np.frombuffer(wsum, np.float64)
-            parts.append((np.full(len(code), shards.setdefault(s, len(shards)), np.int32), np.frombuffer(lo, kind).astype(np.int32) + np.int32(base), np.frombuffer(hi, kind).astype(np.int32) + np.int32(base), c, w))
+            parts.append((np.full(len(code), shards.setdefault(s, len(shards)), np.int32), np.cumsum(np.frombuffer(lo, kind), dtype=np.int32) + np.int32(base), np.frombuffer(hi, kind).astype(np.int32) + np.int32(base), c, w))
             base += len(words[-1])
         coded = pa.concat_arrays(words).dictionary_encode()
         shard, lo, hi, cnt, wsum = (np.concatenate(x) for x in zip(*parts, strict=True))
